@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.plumbing import table
+from docloom.llm.winnow_sql import DECONTAMINATION
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +16,28 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"))
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.winnow import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.simhash_golay import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_winnowing": op3_winnowing,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_output": op6_token_output,
+    "op7_simhash_golay": op7_simhash_golay,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_winnowing": DECONTAMINATION}
