@@ -47,8 +47,11 @@ def _classes() -> np.ndarray:
 
 
 def _byte_classes(data: np.ndarray) -> np.ndarray:
-    """The class of the character that each byte belongs to."""
-    table = _classes()
+    return by_character(data, _classes())
+
+
+def by_character(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[code point] of the character that each byte belongs to."""
     out = table[:256][data]
     lead = np.flatnonzero(data >= 0xC0)
     if len(lead):
@@ -58,7 +61,7 @@ def _byte_classes(data: np.ndarray) -> np.ndarray:
             at[k] = data[np.minimum(lead + k + 1, len(data) - 1)] & 0x3F
         two, four = b0 < 0xE0, b0 >= 0xF0
         point = np.where(two, (b0 & 0x1F) << 6 | at[0], np.where(four, (b0 & 7) << 18 | at[0] << 12 | at[1] << 6 | at[2], (b0 & 15) << 12 | at[0] << 6 | at[1]))
-        cls = table[np.minimum(point, 0x10FFFF)]
+        cls = table[np.minimum(point, len(table) - 1)]
         out[lead] = cls
         out[lead + 1] = cls
         out[lead[~two] + 2] = cls[~two]

@@ -73,10 +73,24 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-def hashed_sample(df: DataFrame, rows: int, key: Column) -> DataFrame:
-    """A bounded training sample that does not depend on row order: the ``rows`` smallest salted hashes of ``key``."""
-    return df.orderBy(F.xxhash64(key, F.lit("train")), key).limit(rows)
+def hashed_sample(df: DataFrame, rows: int, key: Column, salt: str = "train") -> DataFrame:
+    """At most ``rows`` rows, those with the smallest salted hashes of ``key``: independent of row order.
 
+    The bound is found on the key alone, so whole rows are only read where they are chosen.
+    """
+    rank = F.xxhash64(key, F.lit(salt))
+    bound = df.select(rank.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.where(rank <= F.lit(bound)).limit(rows) if bound is not None else df.limit(0)
 
-def float32(values) -> np.ndarray:
-    return np.asarray(values, np.float32)
+
+def filter_batches(docs: DataFrame, column: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """Rows whose ``column`` passes ``keep`` (a function of the column's Arrow values), without a shuffle or join."""
+    prepare(docs.sparkSession)
+    at = docs.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -10,6 +10,18 @@ from docloom.llm.plumbing import table
 from docloom.llm.winnow_sql import DECONTAMINATION
 
 
+def op1_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.langid_crf import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.warc import derivatives, responses_of
+
+    return derivatives(responses_of(table(spark, sf_dir, "pages")), "page_id")
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.token_output import token_output
 
@@ -34,10 +46,40 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.toxicity_nnpu import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.mpeg_audio import media_column
+
+    return media_column(table(spark, sf_dir, "documents"))
+
+
+def op9_url_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.url_lm import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.quality_rules import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_crf_language_id": op1_crf_language_id,
+    "op2_warc_derivatives": op2_warc_derivatives,
     "op3_winnowing": op3_winnowing,
+    "op4_nnpu_toxicity": op4_nnpu_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_output": op6_token_output,
     "op7_simhash_golay": op7_simhash_golay,
+    "op8_mpeg_audio": op8_mpeg_audio,
+    "op9_url_lm": op9_url_lm,
+    "op10_rule_ensemble": op10_rule_ensemble,
 }
 ORACLE_SQL: dict[str, str] = {"op3_winnowing": DECONTAMINATION}

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.plumbing import map_batches, record, stage
+from docloom.llm.plumbing import filter_batches, map_batches, record, stage
 from docloom.llm.textcore import buffers, encode_spans, lower_ascii, mix64, runs, segment_sum, slices
 
 SPAN = 13
@@ -170,7 +170,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.
 _DDL = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _judge(docs: DataFrame, source: Items, keep_rows: bool = False) -> DataFrame:
+def _judge(docs: DataFrame, source: Items) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(source)
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -258,6 +258,15 @@ def _judge_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     return map_batches(rows.select("doc_id", "text", "spans", "items"), total, _DDL)
 
 
+def _small_items(benchmark: DataFrame, item_bytes: int) -> Items | None:
+    """The compiled items; None if they have more bytes than may be sent."""
+    size = benchmark.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16), F.lit(0)).alias("n")).first()["n"]
+    if size > item_bytes:
+        return None
+    rows = benchmark.select("item_id", "text").collect()
+    return Items([r["item_id"] for r in rows], [r["text"] for r in rows])
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document.
 
@@ -265,14 +274,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_
     id or words are ignored; rows with equal item_id are one item; repeated documents
     are judged each; either table may be empty.
     """
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
-    if size > item_bytes:
-        return _judge_by_join(docs, benchmark)
-    rows = benchmark.select("item_id", "text").collect()
-    return _judge(docs, Items([r["item_id"] for r in rows], [r["text"] for r in rows]))
+    items = _small_items(benchmark, item_bytes)
+    return _judge_by_join(docs, benchmark) if items is None else _judge(docs, items)
+
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """Documents that are not contaminated; rows pass through unless the items are too large to send."""
+    items = _small_items(benchmark, item_bytes)
+    if items is None:
+        gone = _judge_by_join(docs, benchmark).where("contaminated").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        out = [np.zeros(0, bool)]
+        for _, _, chunk, at in slices(*buffers(texts)):
+            words, before = word_hashes(chunk, at)
+            first, end, _ = spans(words, before, shared.value)
+            hit = segment_sum(covered(len(words), first, end), before)
+            out.append((hit == 0) | (20 * hit < before[1:] - before[:-1]))
+        return np.concatenate(out)
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that are not contaminated; the texts pass once and only marked ids are joined."""
-    gone = decontaminate(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return filter_batches(docs, "text", keep)
