@@ -35,8 +35,8 @@ def render(notes: DataFrame, sections: list[tuple[str, Column]]) -> DataFrame:
 def merge_managed(old: Column, new: Column) -> Column:
     """Replace what stands between the markers; without markers the new block is appended."""
     at, stop = F.instr(old, BEGIN), F.instr(old, END)
-    inner = F.concat(F.substr(old, F.lit(1), at - 1), F.trim(new), F.substr(old, stop + len(END)))
-    return F.when(old.isNull(), new).when((at > 0) & (stop > at), inner).otherwise(F.concat(F.rtrim(old), F.lit("\n\n"), new))
+    inner = F.concat(F.substr(old, F.lit(1), at - 1), F.regexp_replace(new, r"^\s+|\s+$", ""), F.substr(old, stop + len(END)))
+    return F.when(old.isNull(), new).when((at > 0) & (stop > at), inner).otherwise(F.concat(F.regexp_replace(old, r"\s+$", ""), F.lit("\n\n"), new))
 
 
 def upsert(stored: DataFrame, made: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def backlinks(notes: DataFrame, stem: str, title: str) -> DataFrame:
     """Append a backlink to every other note that has no backlinks section."""
     add = F.lit(f"\n\n## Backlinks\n\n- [[{stem}|{title}]]\n")
     other = (F.col("filename") != f"{stem}.md") & ~F.col("markdown").contains("## Backlinks")
-    return notes.withColumn("markdown", F.when(other, F.concat(F.rtrim("markdown"), add)).otherwise(F.col("markdown")))
+    return notes.withColumn("markdown", F.when(other, F.concat(F.regexp_replace("markdown", r"\s+$", ""), add)).otherwise(F.col("markdown")))
 
 
 def front_matter(markdown: Column, key: str) -> Column:
