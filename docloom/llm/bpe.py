@@ -105,7 +105,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, cls: np.ndarray) -> tuple[np.n
 class ColumnBpe:
     """Encodes column slices; keeps the ids of at most ``capacity`` distinct pieces."""
 
-    def __init__(self, path: str, capacity: int = 600_000):
+    def __init__(self, path: str, capacity: int = 450_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -122,8 +122,6 @@ class ColumnBpe:
         self.used = 0
 
     def _learn(self, new: list[bytes]) -> None:
-        if len(self.known) + len(new) > self.capacity:
-            self._reset()
         first = len(self.known)
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -141,12 +139,13 @@ class ColumnBpe:
     def _slots(self, distinct: list[bytes]) -> np.ndarray:
         get = self.known.get
         slots = np.fromiter((get(p, -1) for p in distinct), np.int64, len(distinct))
-        if (slots < 0).any():
-            size = len(self.known)
-            self._learn([distinct[i] for i in np.flatnonzero(slots < 0)])
-            if len(self.known) < size + int((slots < 0).sum()):  # the cache was emptied
-                known = self.known
-                self._learn([p for p in distinct if p not in known])
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            if len(self.known) + len(new) > self.capacity:
+                # Start over with this slice's pieces, however many they are.
+                self._reset()
+                new = np.arange(len(distinct))
+            self._learn([distinct[i] for i in new])
             get = self.known.get
             slots = np.fromiter((get(p, -1) for p in distinct), np.int64, len(distinct))
         return slots
