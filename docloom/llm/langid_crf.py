@@ -28,7 +28,7 @@ from docloom.llm.plumbing import filter_batches, hashed_sample, id_crc, map_batc
 from docloom.llm.textcore import buffers, encode_spans, mix64, runs, segment_sum, slices
 
 #: Bound of the training sample: passages of at most PASSAGE characters, one a document.
-TRAIN_DOCS, PASSAGE = 1500, 1600
+TRAIN_DOCS, PASSAGE = 1000, 1500
 BUCKETS = 1 << 18
 CHAIN = 256
 SPLICE, SEQUENCE, ROUNDS, RATE, L2 = 0.4, 48, 16, 0.2, 1e-5
@@ -87,14 +87,13 @@ class Crf:
     start: np.ndarray
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        bucket, bounds = features(words)
-        scale = 1 / np.sqrt(np.maximum(1, bounds[1:] - bounds[:-1]))
         out = np.empty((len(words), len(self.labels)))
-        step = 20_000
+        step = 8192  # words at once: bounds the feature arrays
         for i in range(0, len(words), step):
-            b = bounds[i : i + step + 1]
-            out[i : i + step] = segment_sum(self.weights[bucket[b[0] : b[-1]]], b - b[0])
-        return out * scale[:, None]
+            bucket, bounds = features(words[i : i + step])
+            scale = 1 / np.sqrt(np.maximum(1, np.diff(bounds)))
+            out[i : i + step] = segment_sum(self.weights[bucket], bounds) * scale[:, None]
+        return out
 
 
 def posteriors(emission: np.ndarray, size: np.ndarray, transition: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -161,8 +160,10 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Crf:
     valid = np.arange(SEQUENCE)[None] < size[:, None]
     bucket, bounds = features(words)
     scale = 1 / np.sqrt(np.maximum(1, bounds[1:] - bounds[:-1]))
-    used, inverse = np.unique(bucket, return_inverse=True)
-    owner = np.repeat(np.arange(len(words)), bounds[1:] - bounds[:-1])
+    used = np.unique(bucket)
+    inverse = np.searchsorted(used, bucket).astype(np.int32)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), bounds[1:] - bounds[:-1])
+    del bucket
     truth = np.zeros((len(words), n))
     np.add.at(truth, (x[valid], y[valid]), 1)
     pair = valid[:, 1:]
@@ -173,7 +174,8 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Crf:
     w, t, s = np.zeros((len(used), n)), model.transition, model.start
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (w, t, s)]
     for r in range(1, ROUNDS + 1):
-        emission = segment_sum(w[inverse], bounds) * scale[:, None]
+        # One label at a time: the feature arrays are the largest of the fit.
+        emission = np.stack([segment_sum(w[:, k][inverse], bounds) * scale for k in range(n)], axis=1)
         post, expected, _ = posteriors(emission[x], size, t, s)
         got = np.stack([np.bincount(x[valid], post[valid][:, k], len(words)) for k in range(n)], axis=1)
         gain = (truth - got) * scale[:, None] / tokens
