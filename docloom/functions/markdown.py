@@ -11,7 +11,7 @@ import textwrap
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from docloom.functions.tables import ABBREVIATIONS, LIST_ITEM, TABLE_RULE
+from docloom.functions.tables import ABBREVIATIONS, ATX_HEADING, CALLOUT, CHUNK_HEADING, CLOSING_MARKS, DEFINITION, FENCE, LIST_ITEM, TABLE_CLOSE, TABLE_OPEN, TABLE_RULE
 
 _ITEM, _RULE = re.compile(LIST_ITEM), re.compile(TABLE_RULE)
 _BLANKS = re.compile(r"[ \t]+")
@@ -65,7 +65,7 @@ def clean_text(value: str) -> str:
 
 # ---------------------------------------------------------------- sentences
 
-_CLOSERS = "\"'”’»」』)\\]"
+_CLOSERS = re.escape(CLOSING_MARKS)
 _END = re.compile(rf"[。！？][{_CLOSERS}]*|[!?][{_CLOSERS}]*(?=\s|\Z)|(?<!\.)\.(?!\.)[{_CLOSERS}]*(?=\s|\Z)")
 _TOKEN = re.compile(r"(?:[^\W\d_]|\.)*\Z")
 _LONGEST = max(map(len, ABBREVIATIONS))
@@ -99,7 +99,7 @@ def sentences(text: str) -> list[str]:
 # ---------------------------------------------------------------- structure
 
 MAX_STRUCTURE_BYTES, MAX_SECTIONS = 5_000_000, 10_000
-_ATX = re.compile(r"^(#{1,6})\s+(\S.*)$")
+_ATX = re.compile(ATX_HEADING)
 
 
 @dataclass
@@ -229,11 +229,8 @@ class Chunk:
         return "language" in self.metadata or "structure_type" in self.metadata
 
 
-_HEADING = re.compile(r"^#{1,6}\s+.+", re.M)
-_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
-_TABLE_IN, _TABLE_OUT = re.compile(r"<\s*table\b", re.I), re.compile(r"</\s*table\s*>", re.I)
-_CALLOUT = re.compile(r"^>+[ \t]*\s*\[[ \t]*![ \t]*([A-Za-z][A-Za-z0-9-]*)[ \t]*\]")
-_DEFINES = re.compile(r"^\s*:[ \t]")
+_HEADING, _FENCE, _DEFINES = re.compile(CHUNK_HEADING, re.M), re.compile(FENCE), re.compile(DEFINITION)
+_TABLE_IN, _TABLE_OUT, _CALLOUT = re.compile(TABLE_OPEN, re.I), re.compile(TABLE_CLOSE, re.I), re.compile(CALLOUT)
 _ITEMS = re.compile(LIST_ITEM, re.M)
 
 

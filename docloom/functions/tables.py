@@ -96,3 +96,19 @@ ENTITY_PATTERNS: tuple[tuple[str, str, int], ...] = (
 #: Line shapes of Markdown.
 LIST_ITEM = r"^(\s*)([-*+]|\d+[.)])\s+"
 TABLE_RULE = r"^\s*\|?[\s:-]+(?:\|[\s:-]+)+\|?\s*$"
+ATX_HEADING = r"^(#{1,6})\s+(\S.*)$"
+CHUNK_HEADING = r"^#{1,6}\s+.+"
+FENCE = r"^ {0,3}(`{3,}|~{3,})(.*)$"
+TABLE_OPEN = r"<\s*table\b"
+TABLE_CLOSE = r"</\s*table\s*>"
+CALLOUT = r"^>+[ \t]*\s*\[[ \t]*![ \t]*([A-Za-z][A-Za-z0-9-]*)[ \t]*\]"
+DEFINITION = r"^\s*:[ \t]"
+#: Marks that may follow a sentence's end.
+CLOSING_MARKS = "\"'”’»」』)]"
+
+#: Line shapes of code in other languages.
+CODE_LINES: tuple[tuple[str, str], ...] = (
+    ("function", r"(?:export\s+)?(?:async\s+)?function\s+(\w+)"),
+    ("class", r"(?:export\s+)?class\s+(\w+)"),
+    ("import", r"(?:import|from)\s+([\w.]+)"),
+)

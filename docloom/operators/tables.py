@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.tables import CODE_LINES
 from docloom.operators.text import per_text
 
 MAX_ROWS, MAX_COLUMNS, SAMPLE = 200, 30, 4096
@@ -88,11 +89,7 @@ def _python_items(tree: ast.AST) -> list[tuple]:
     return sorted(out, key=lambda x: (x[5], x[0], x[1]))
 
 
-_SHAPES = [
-    ("function", re.compile(r"(?:export\s+)?(?:async\s+)?function\s+(\w+)")),
-    ("class", re.compile(r"(?:export\s+)?class\s+(\w+)")),
-    ("import", re.compile(r"(?:import|from)\s+([\w.]+)")),
-]
+_SHAPES = [(kind, re.compile(shape)) for kind, shape in CODE_LINES]
 
 
 def code_items(text: str, python: bool = True) -> list[tuple]:
