@@ -241,4 +241,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("__rank", rank).where("__rank = 1 or doc_id is null").select(*docs.columns)
+    name = "rank_" + "_" * max(map(len, docs.columns))  # no column of the table has this name
+    return kept.withColumn(name, rank).where((F.col(name) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
