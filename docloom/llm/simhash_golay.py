@@ -237,9 +237,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Keep one document of each component (its smallest id) and one of rows with equal ids; rows without id stay."""
+    """Keep one document of each component (its smallest id) and one of rows with equal ids; rows without id stay.
+
+    Rows without id pass by the join and the ranking, so they never meet in one task.
+    """
     gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     name = "rank_" + "_" * max(map(len, docs.columns))  # no column of the table has this name
-    return kept.withColumn(name, rank).where((F.col(name) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    first = kept.withColumn(name, rank).where(F.col(name) == 1).select(*docs.columns)
+    return first.unionByName(docs.where(F.col("doc_id").isNull()))
