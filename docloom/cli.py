@@ -1,12 +1,16 @@
-"""python -m docloom.cli: ingest, search, ask, watch, status."""
+"""python -m docloom.cli: ingest, search, ask, watch, status, config, doctor."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
+import sys
+from importlib.util import find_spec
 
 from pyspark.sql import functions as F
 
+from docloom import config
 from docloom.functions import columns as C
 from docloom.operators import retrieval as R
 from docloom.operators.models import ask
@@ -31,9 +35,27 @@ def _parser() -> argparse.ArgumentParser:
     p = sub.add_parser("watch")
     p.add_argument("folder")
     sub.add_parser("status")
+    p = sub.add_parser("config")
+    p.add_argument("folder", nargs="?", default="config", help="folder of default.yaml and <environment>.yaml")
+    p.add_argument("--environment")
+    sub.add_parser("doctor")
     return top
 
 
+def checks(store_folder: str) -> list[tuple[str, str, str]]:
+    """(what, OK, WARN or FAIL, detail) of the interpreter, the libraries and the store's folder."""
+    found = [("python", "OK", f"{sys.version_info.major}.{sys.version_info.minor}")]
+    for needed, module in ((True, "pyspark"), (True, "pyarrow"), (True, "pandas"), (True, "numpy"), (False, "yaml"), (False, "pypdf")):
+        there = find_spec(module) is not None
+        found.append((module, "OK" if there else "FAIL" if needed else "WARN", "installed" if there else "not installed"))
+    if "://" in store_folder:
+        return [*found, ("store", "OK", f"{store_folder} is reached through Spark")]
+    at = os.path.abspath(store_folder)
+    while not os.path.exists(at):
+        at = os.path.dirname(at)
+    return [*found, ("store", "OK" if os.path.isdir(at) and os.access(at, os.W_OK) else "FAIL", at)]
+
+
 def filters_of(text: str | None, source_type: str | None) -> dict:
     found = json.loads(text) if text else {}
     if not isinstance(found, dict):
@@ -43,6 +65,16 @@ def filters_of(text: str | None, source_type: str | None) -> dict:
 
 def main(args: list[str] | None = None) -> None:
     a = _parser().parse_args(args)
+    if a.command == "config":
+        print(json.dumps(config.load(a.folder, a.environment), indent=2, sort_keys=True, default=str))
+        return
+    if a.command == "doctor":
+        found = checks(a.store)
+        for row in found:
+            print(*row, sep="\t")
+        if any(state == "FAIL" for _, state, _ in found):
+            raise SystemExit(1)
+        return
     spark = local_session()
     if a.command == "ingest":
         good, bad = files.ingest(spark, a.path)
