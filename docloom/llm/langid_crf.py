@@ -20,17 +20,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.bpe import by_character
-from docloom.llm.plumbing import filter_batches, hashed_sample, id_crc, map_batches, record
+from docloom.llm.plumbing import filter_batches, id_crc, map_batches, record
 from docloom.llm.textcore import buffers, encode_spans, mix64, runs, segment_sum, slices
 
-#: Bound of the training sample: passages of at most PASSAGE characters, one a document.
-TRAIN_DOCS, PASSAGE = 1000, 1500
+#: Training sample: passages of at most PASSAGE characters, one a document, shared out among the languages.
+TRAIN_DOCS, PASSAGE = 1500, 1600
 BUCKETS = 1 << 18
 CHAIN = 256
+STEP = 8192  # words at once: bounds the feature arrays
 SPLICE, SEQUENCE, ROUNDS, RATE, L2 = 0.4, 48, 16, 0.2, 1e-5
 UNKNOWN = "und"
 
@@ -88,11 +89,10 @@ class Crf:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         out = np.empty((len(words), len(self.labels)))
-        step = 8192  # words at once: bounds the feature arrays
-        for i in range(0, len(words), step):
-            bucket, bounds = features(words[i : i + step])
+        for i in range(0, len(words), STEP):
+            bucket, bounds = features(words[i : i + STEP])
             scale = 1 / np.sqrt(np.maximum(1, np.diff(bounds)))
-            out[i : i + step] = segment_sum(self.weights[bucket], bounds) * scale[:, None]
+            out[i : i + STEP] = segment_sum(self.weights[bucket], bounds) * scale[:, None]
         return out
 
 
@@ -134,7 +134,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Crf:
     rng, n = np.random.default_rng(seed), len(labels)
     codes, words, before = words_of(*buffers(pa.array(texts, pa.string())))
     lang = np.array([labels.index(x) for x in langs], np.int64)
-    chosen = [i for i in range(len(texts)) if before[i + 1] - before[i] >= 2]
+    chosen = [i for i in range(len(texts)) if before[i + 1] > before[i]]
     rows_x, rows_y = [], []
     for i in chosen:
         mine = codes[before[i] : before[i + 1]]
@@ -158,7 +158,10 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Crf:
     for r, i in enumerate(order):
         x[r, : size[r]], y[r, : size[r]] = rows_x[i], rows_y[i]
     valid = np.arange(SEQUENCE)[None] < size[:, None]
-    bucket, bounds = features(words)
+    parts = [features(words[i : i + STEP]) for i in range(0, len(words), STEP)]
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))])
+    bucket = np.concatenate([b.astype(np.int32) for b, _ in parts])
+    del parts
     scale = 1 / np.sqrt(np.maximum(1, bounds[1:] - bounds[:-1]))
     used = np.unique(bucket)
     inverse = np.searchsorted(used, bucket).astype(np.int32)
@@ -214,11 +217,39 @@ def label_texts(model: Crf, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
+def share(counts: list[int], rows: int) -> int:
+    """The least bound by language whose sample has ``rows`` rows, or all; what small languages leave goes to the others."""
+    left = rows
+    for k, n in enumerate(sorted(counts)):
+        if (bound := max(1, -(-left // (len(counts) - k)))) <= n:
+            return bound
+        left -= n
+    return max(counts, default=0)
+
+
+def sample(docs: DataFrame, rows: int = TRAIN_DOCS) -> DataFrame:
+    """(lang, text, h): a passage, at a hashed place, of documents with a language and a letter whose id is not held out.
+
+    Each language has an equal share, and one row at least: about ``rows`` in all, one more a language at most.
+    """
+    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (id_crc() % 4 != 2))
+    bound = share([r["count"] for r in known.groupBy("lang").count().collect()], rows)
+    # The text is part of the key: rows without id differ too. Whole rows are only read where they are chosen.
+    keyed = known.withColumn("h", F.xxhash64("doc_id", "text", F.lit("train")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    last = keyed.select("lang", "h").withColumn("n", place).where(F.col("n") <= bound).groupBy("lang").agg(F.max("h").alias("last"))
+    near = keyed.join(F.broadcast(last), "lang").where("h <= last")
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - PASSAGE, F.lit(1)).cast("long")).cast("int") + 1
+    cut = F.substring(F.col("text"), start, F.lit(PASSAGE))
+    from_letter = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{PASSAGE - 1}}}", 0)
+    passage = F.when(cut.rlike(r"\p{L}"), cut).otherwise(from_letter)
+    # Copies have equal keys, so the bound is held once more.
+    return near.select("lang", passage.alias("text"), "h").withColumn("n", place).where(F.col("n") <= bound).select("lang", "text", "h")
+
+
 def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> Crf:
-    """Fit on a bounded sample of documents with a language whose id is not held out; one passage each, at a hashed place."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_crc() % 4 != 2))
-    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - PASSAGE, F.lit(1)).cast("long")).cast("int") + 1
-    chosen = hashed_sample(known, rows, F.col("doc_id")).select("lang", F.substring(F.col("text"), place, F.lit(PASSAGE)).alias("text")).collect()
+    """Fit on a bounded sample in which every language has rows (but for one whose ids are all held out)."""
+    chosen = sorted(sample(docs, rows).collect(), key=lambda r: (r["h"], r["lang"]))
     return fit([r["text"] for r in chosen], [r["lang"] for r in chosen])
 
 
