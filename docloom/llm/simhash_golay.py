@@ -24,8 +24,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docloom.llm.graph import connected_components, local_components
 from docloom.llm.plumbing import map_batches, prepare, record, stage
@@ -219,6 +220,12 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     return placed.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, "u long, v long").distinct()
 
 
+def _rooted(low: DataFrame, distance: int, block: int) -> DataFrame:
+    """Add root, the component's smallest fingerprint, to a staged table of distinct fingerprints (fp, low)."""
+    roots = connected_components(links(low, distance, block), "simhash-links")
+    return low.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest reachable doc_id).
 
@@ -230,20 +237,27 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
         raise ValueError("the keys find links of at most 3 differing bits")
     rows = stage(document_fingerprints(docs, shingle), "fingerprints")
     low = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprint-set")
-    roots = connected_components(links(low, distance, block), "simhash-links")
-    rooted = low.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(low, distance, block)
     named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Keep one document of each component (its smallest id) and one of rows with equal ids; rows without id stay.
+    """Keep one row of each component: that of its smallest id, null ids last; of rows with that id, the first as staged.
 
-    Rows without id pass by the join and the ranking, so they never meet in one task.
+    Rows are told apart by a key of their own, so repeated and null ids neither save nor cost a text.
     """
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    name = "rank_" + "_" * max(map(len, docs.columns))  # no column of the table has this name
-    first = kept.withColumn(name, rank).where(F.col(name) == 1).select(*docs.columns)
-    return first.unionByName(docs.where(F.col("doc_id").isNull()))
+    pad = "_" * max(map(len, docs.columns))  # no column of the table has these names
+    key, fp = f"key{pad}", f"fp{pad}"
+    numbered = docs.withColumn(key, F.monotonically_increasing_id())
+    at = docs.columns.index("text")
+
+    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        fps = [fingerprints(chunk, offsets) for _, _, chunk, offsets in slices(*buffers(batch.column(at)))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(fps).view(np.int64))], names=[*batch.schema.names, fp])
+
+    staged = stage(map_batches(numbered, one, StructType([*numbered.schema.fields, StructField(fp, LongType())])), "fingerprinted")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").cast("long").alias("id"), F.col(key).alias("key"))
+    low = stage(staged.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("low")), "fingerprint-set")
+    first = _rooted(low, DISTANCE, BLOCK).groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.key").alias(key))
+    return staged.join(first, key, "left_semi").select(*docs.columns)

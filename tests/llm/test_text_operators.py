@@ -182,6 +182,15 @@ def test_near_duplicates(odd):
     assert near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(300)) for c in "xyz")
+    rows = [(5, x), (5, y), (3, y.upper()), (None, x), (None, z), (None, z), (None, z.upper()), (7, "other words here"), (7, "not the same at all")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(3)
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"].lower()) for r in kept.collect()), key=str) == sorted([(5, x), (3, y), (None, z), (7, rows[7][1]), (7, rows[8][1])], key=str)
+
+
 def slow_hits(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     w, hit, ids = words(text), set(), set()
