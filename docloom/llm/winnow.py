@@ -218,9 +218,8 @@ def _gram_rows(rows: DataFrame, kept: bool, short: list[int]) -> DataFrame:
     return map_batches(rows, one, "row string, gram long, place long, words long")
 
 
-def _judge_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same result with both sides' fingerprints shuffled and joined."""
-    keyed = stage(docs.select(F.expr("uuid()").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "decon-docs")
+def _judge_by_join(keyed: DataFrame, items: DataFrame) -> DataFrame:
+    """row and the same result of staged documents (row, doc_id, text), with both sides' fingerprints shuffled and joined."""
     items = stage(items.where("item_id is not null").select(F.expr("uuid()").alias("row"), F.col("item_id").cast("string").alias("item_id"), "text"), "decon-items")
 
     def sizes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -253,9 +252,10 @@ def _judge_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
             if found_:
                 first, end = (np.array([s[x] for s in found_]) for x in ("first", "end"))
                 n_hit[k] = covered(int(n_words[k]), first, end).sum()
-        yield record(_OUT, batch.column(0), n_words, n_hit, [len(x) for x in ids], [items_digest(x) for x in ids], (n_hit > 0) & (20 * n_hit >= n_words))
+        found = record(_OUT, batch.column(0), n_words, n_hit, [len(x) for x in ids], [items_digest(x) for x in ids], (n_hit > 0) & (20 * n_hit >= n_words))
+        yield pa.RecordBatch.from_arrays([batch.column(4), *found.columns], names=["row", *_OUT.names])
 
-    return map_batches(rows.select("doc_id", "text", "spans", "items"), total, _DDL)
+    return map_batches(rows.select("doc_id", "text", "spans", "items", "row"), total, f"row string, {_DDL}")
 
 
 def _small_items(benchmark: DataFrame, item_bytes: int) -> Items | None:
@@ -275,15 +275,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_
     are judged each; either table may be empty.
     """
     items = _small_items(benchmark, item_bytes)
-    return _judge_by_join(docs, benchmark) if items is None else _judge(docs, items)
+    if items is not None:
+        return _judge(docs, items)
+    keyed = stage(docs.select(F.expr("uuid()").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "decon-docs")
+    return _judge_by_join(keyed, benchmark).drop("row")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """Documents that are not contaminated; rows pass through unless the items are too large to send."""
     items = _small_items(benchmark, item_bytes)
     if items is None:
-        gone = _judge_by_join(docs, benchmark).where("contaminated").select("doc_id").distinct()
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        row = "row" + "_" * max(map(len, docs.columns))  # no column of the table has this name
+        keyed = stage(docs.withColumn(row, F.expr("uuid()")), "decon-rows")
+        judged = _judge_by_join(keyed.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark)
+        return keyed.join(judged.where("contaminated").select(F.col("row").alias(row)), row, "left_anti").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def keep(texts: pa.Array) -> np.ndarray:

@@ -215,6 +215,16 @@ def test_decontamination_against_brute_force(spark, item_bytes):
     assert sorted(tuple(r) for r in got) == sorted((i, *slow_hits(t, items)) for i, t in docs)
 
 
+@pytest.mark.parametrize("item_bytes", [winnow.ITEM_BYTES, 0])
+def test_contaminated_rows_go_whatever_their_id(spark, item_bytes):
+    leak = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, leak), (None, "clean one"), (5, leak), (5, "clean two"), (5, None), (6, leak + " more"), (7, "clean three"), (7, "clean three")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    kept = winnow.drop_contaminated(docs, spark.createDataFrame([(1, leak)], "item_id long, text string"), item_bytes)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[k] for k in (1, 3, 4, 6, 7)], key=str)
+
+
 def test_decontamination_of_empty_tables(spark, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r["n_hit"] for r in winnow.decontaminate(odd, none).collect()} == {0}
