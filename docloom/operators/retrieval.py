@@ -19,6 +19,8 @@ from docloom.functions import columns as C
 K1, B, RRF_K, POOL_FACTOR, POOL_LEAST = 1.5, 0.75, 60, 5, 50
 #: Most values of a query matrix that is sent to every executor.
 QUERY_VALUES = 8_000_000
+#: Queries and rows of a task beyond that, and of one matrix product in it.
+BATCH_BLOCK, SCORE_BLOCK = 16_384, 2048
 CONTEXT_HITS, CONTEXT_CHARS = 8, 12_000
 
 
@@ -70,30 +72,66 @@ def dense_search(corpus: DataFrame, query: list[float], k: int, min_score: float
     return top(scored, k, F.desc("score"), F.asc("id"))
 
 
-def dense_batch(corpus: DataFrame, queries: list[tuple[object, list[float]]], k: int, min_score: float = 0.0) -> DataFrame:
-    """(query, id, score, rank): each query's top k, by blocked matrix products; each task sends k rows a query at most."""
-    if sum(len(q) for _, q in queries) > QUERY_VALUES:
-        raise ValueError("too many query values to send at once: split the queries")
-    shared = corpus.sparkSession.sparkContext.broadcast((pa.array([i for i, _ in queries]), [np.asarray(q, float) for _, q in queries]))
+def _best(rows: pa.Array, queries: list[np.ndarray], k: int, min_score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of each query's best k rows; ties of the last place stay: ids decide later."""
+    scores, size = block_scores(rows, queries)
+    out_q, out_r = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(queries)):
+        good = np.flatnonzero((scores[i] >= min_score) & (size >= 0))
+        if len(good) > k:
+            bound = np.partition(scores[i][good], len(good) - k)[len(good) - k]
+            good = good[scores[i][good] >= bound]
+        out_q.append(np.full(len(good), i))
+        out_r.append(good)
+    q_at, r_at = np.concatenate(out_q), np.concatenate(out_r)
+    return q_at, r_at, scores[q_at, r_at]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, qs = shared.value
-        for batch in batches:
-            scores, size = block_scores(batch.column(1), qs)
-            out_q, out_r = [], []
-            for i in range(len(qs)):
-                good = np.flatnonzero((scores[i] >= min_score) & (size >= 0))
-                if len(good) > k:  # keep ties of the last place: ids decide later
-                    bound = np.partition(scores[i][good], len(good) - k)[len(good) - k]
-                    good = good[scores[i][good] >= bound]
-                out_q.append(np.full(len(good), i))
-                out_r.append(good)
-            q_at, r_at = np.concatenate(out_q), np.concatenate(out_r)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(q_at)), batch.column(0).take(pa.array(r_at)), pa.array(scores[q_at, r_at])], names=["query", "id", "score"])
-
-    kind = "long" if isinstance(queries[0][0], int) else "string"
-    id_kind = corpus.schema["id"].dataType.simpleString()
-    found = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding").mapInArrow(run, f"query {kind}, id {id_kind}, score double")
+
+def dense_batch(corpus: DataFrame, queries: DataFrame | list[tuple[object, list[float]]], k: int, min_score: float = 0.0) -> DataFrame:
+    """(query, id, score, rank): each query's top k by blocked matrix products; queries: (query, embedding) or a list of such pairs.
+
+    Queries of at most QUERY_VALUES values are sent to every task, which sends k rows a
+    query at most. More are never gathered: blocks of queries meet blocks of rows in
+    tasks of their own.
+    """
+    rows = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding")
+    if isinstance(queries, list):
+        kind = "long" if isinstance(queries[0][0], int) else "string"
+        queries = corpus.sparkSession.createDataFrame(queries, f"query {kind}, embedding array<double>")
+    asks = queries.where(F.col("embedding").isNotNull()).select("query", "embedding")
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((asks, "query"), (rows, "id"))]
+    schema = f"query {kinds[0]}, id {kinds[1]}, score double"
+    size = asks.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("values"), F.count("*").alias("asks")).first()
+    if 0 < size["values"] <= QUERY_VALUES:
+        held = asks.toArrow()
+        shared = corpus.sparkSession.sparkContext.broadcast((held["query"].combine_chunks(), [np.asarray(q, float) for q in held["embedding"].to_pylist()]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, qs = shared.value
+            for batch in batches:
+                q_at, r_at, scores = _best(batch.column(1), qs, k, min_score)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q_at)), batch.column(0).take(pa.array(r_at)), pa.array(scores)], names=["query", "id", "score"])
+
+        found = rows.mapInArrow(run, schema)
+    else:
+        number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        a, b = (max(1, -(-n // BATCH_BLOCK)) for n in (size["asks"], rows.count()))
+        left = asks.withColumn("a", number("query", a)).withColumn("b", every(b))
+        right = rows.withColumn("b", number("id", b)).withColumn("a", every(a))
+
+        def meet(q: pa.Table, r: pa.Table) -> pa.Table:
+            out = [pa.table([pa.array([], q.schema.field("query").type), pa.array([], r.schema.field("id").type), pa.array([], pa.float64())], names=["query", "id", "score"])]
+            for i in range(0, q.num_rows, SCORE_BLOCK):
+                some = q.slice(i, SCORE_BLOCK).combine_chunks()
+                qs = [np.asarray(x, float) for x in some["embedding"].to_pylist()]
+                for j in range(0, r.num_rows, SCORE_BLOCK):
+                    part = r.slice(j, SCORE_BLOCK).combine_chunks()
+                    q_at, r_at, scores = _best(pa.concat_arrays(part["embedding"].chunks), qs, k, min_score)
+                    out.append(pa.table([some["query"].take(pa.array(q_at)), part["id"].take(pa.array(r_at)), pa.array(scores)], names=["query", "id", "score"]))
+            return pa.concat_tables(out)
+
+        found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, schema)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

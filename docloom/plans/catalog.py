@@ -129,7 +129,7 @@ def dense_zero_and_dim_mismatch(t):
   r as (select *, row_number() over (partition by query order by score desc, id) as rank from s where score >= 0)
   select query, id, round(score, 6) as score, rank from r where rank <= 3""")
 def dense_batch_top3(t):
-    asks = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in t("embeddings").where("vec_id % 20 = 0").collect()]
+    asks = t("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
     return R.dense_batch(_store(t), asks, 3).select("query", "id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -104,6 +104,23 @@ def test_batch_equals_single(spark):
         assert [batch[name, k] for k in (1, 2, 3)] == ids(R.dense_search(df, q, 3))
 
 
+def test_batches_of_any_size_meet_all_rows(spark, monkeypatch):
+    import random
+
+    random.seed(4)
+    rows = [(i, i, [random.gauss(0, 1) for _ in range(8)]) for i in range(90)] + [(90, 90, None), (91, 91, [1.0]), (92, 92, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "id long, seq long, embedding array<double>").repartition(5)
+    asks = df.where("id % 2 = 0").select(F.col("id").alias("query"), "embedding")
+    get = lambda q: sorted((r["query"], r["rank"], r["id"], round(r["score"], 9)) for r in R.dense_batch(df, q, 3).collect())
+    want = get(asks)
+    assert len(want) == 3 * 46  # 45 whole vectors and the zero one; null asks nothing
+    for values, block in ((10, 7), (10, 1000)):
+        for name, value in (("QUERY_VALUES", values), ("BATCH_BLOCK", block), ("SCORE_BLOCK", 4)):
+            monkeypatch.setattr(R, name, value)
+        assert get(asks) == want
+    assert get(asks.limit(0)) == []
+
+
 def test_context_budget(spark):
     hits = spark.createDataFrame([(i, f"d{i}", "s", "x" * 5000, 0.03) for i in range(1, 101)], "rank int, id string, source string, text string, rrf double")
     kept = [len(r["kept"]) for r in R.context_blocks(hits).orderBy("rank").collect()]
