@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import columns as C
+from docloom.runtime import stage
 
 K1, B, RRF_K, POOL_FACTOR, POOL_LEAST = 1.5, 0.75, 60, 5, 50
 #: Most values of a query matrix that is sent to every executor.
@@ -72,6 +73,18 @@ def dense_search(corpus: DataFrame, query: list[float], k: int, min_score: float
     return top(scored, k, F.desc("score"), F.asc("id"))
 
 
+def dense_all(corpus: DataFrame, query: list[float], min_score: float = 0.0) -> DataFrame:
+    """(id, score, rank) of every row with score ≥ min_score, ties by id: sorted in ranges, ranked by place and range."""
+    scored = corpus.where(F.col("embedding").isNotNull()).select("id", query_score(F.col("embedding"), query).alias("score")).where(F.col("score") >= min_score)
+    order = (F.desc("score"), F.asc("id"))
+    placed = scored.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    # The id's upper bits are the range, its lower 33 the place: staged, so that both uses see the same.
+    placed = stage(placed, "dense-all").withColumns({"__range": F.shiftright("__at", 33), "__place": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = F.sum("rows").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    bases = placed.groupBy("__range").agg(F.count("*").alias("rows")).select("__range", F.coalesce(before, F.lit(0)).alias("base"))
+    return placed.join(F.broadcast(bases), "__range").select("id", "score", (F.col("base") + F.col("__place") + 1).alias("rank"))
+
+
 def _best(rows: pa.Array, queries: list[np.ndarray], k: int, min_score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of each query's best k rows; ties of the last place stay: ids decide later."""
     scores, size = block_scores(rows, queries)

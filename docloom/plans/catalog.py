@@ -110,7 +110,7 @@ def dense_filtered(t):
 
 @query(f"with {_STORE} select id, round(score, 6) as score, rank from ({_dense_sql(100000, -1.0)})")
 def dense_negative_scores(t):
-    return _ranked(R.dense_search(_store(t), _vector(t), 100_000, -1.0))
+    return _ranked(R.dense_all(_store(t), _vector(t), -1.0))
 
 
 @query(f"""with q as (select cast(embedding as double[]) as v from embeddings where vec_id = 0),

@@ -121,6 +121,17 @@ def test_batches_of_any_size_meet_all_rows(spark, monkeypatch):
     assert get(asks.limit(0)) == []
 
 
+def test_all_scores_have_no_row_cap(spark, tmp_path):
+    from docloom.plans import catalog
+
+    n = 100_030
+    vector = F.array(F.when(F.col("vec_id") % 3 == 0, 1.0).otherwise(-1.0).cast("float"), (F.col("vec_id") % 7).cast("float"))
+    spark.range(n).select(F.col("id").alias("vec_id"), vector.alias("embedding"), F.lit(0).alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES["dense_negative_scores"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, n + 1)) and got[-1]["score"] < 0
+    assert all((-a["score"], a["id"]) < (-b["score"], b["id"]) for a, b in zip(got, got[1:], strict=False))
+
+
 def test_context_budget(spark):
     hits = spark.createDataFrame([(i, f"d{i}", "s", "x" * 5000, 0.03) for i in range(1, 101)], "rank int, id string, source string, text string, rrf double")
     kept = [len(r["kept"]) for r in R.context_blocks(hits).orderBy("rank").collect()]
