@@ -18,7 +18,7 @@ from docloom.llm.winnow import drop_contaminated
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; `und` and unsure ones go."""
+    """Documents with a language; `und` ones go."""
     return keep_identified(docs)
 
 

@@ -297,16 +297,12 @@ def identify_languages(docs: DataFrame, rows: int = TRAIN_DOCS) -> DataFrame:
     return predict(docs, train(docs, rows))
 
 
-#: Documents whose best language has a smaller share of the words' posterior are rejected by the pipeline.
-MIN_SCORE = 0.3
-
-
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Documents with a language; rows pass through, nothing is joined."""
+    """Documents with a language, however small its share of the words is; rows pass through, nothing is joined."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     def keep(texts: pa.Array) -> np.ndarray:
-        names, scores = judge(shared.value, texts)
-        return np.array([n != UNKNOWN for n in names], bool) & (scores >= MIN_SCORE)
+        names, _ = judge(shared.value, texts)
+        return np.array([n != UNKNOWN for n in names], bool)
 
     return filter_batches(docs, "text", keep)

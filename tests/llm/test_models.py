@@ -61,6 +61,16 @@ def test_language_sample_has_every_language(spark):
     assert langid_crf.TRAIN_DOCS >= 1500 and langid_crf.PASSAGE >= 1600
 
 
+def test_mixed_languages_pass_the_pipeline(spark):
+    words = {"aa": "alpha arrow amber", "bb": "bison broom blitz", "cc": "cedar cloud crisp", "dd": "dingo drift dwell", "ee": "ember eagle epoch"}
+    rows = [(i, f"{text} " * 20, lang) for i in range(20) for lang, text in words.items()]
+    mixed = " ".join(f"{text} " * 20 for text in words.values())
+    docs = spark.createDataFrame([*rows, (999, mixed, None), (998, "12 -", None), (997, None, None)], "doc_id long, text string, lang string")
+    score = langid_crf.identify_languages(docs).where("doc_id = 999").first()["score"]
+    assert score < 0.3
+    assert {r["doc_id"] for r in langid_crf.keep_identified(docs).where("doc_id > 900").collect()} == {999}
+
+
 def test_toxicity(spark):
     docs, labels = read(spark, "documents"), read(spark, "labels")
     judged = toxicity_nnpu.score_toxicity(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
