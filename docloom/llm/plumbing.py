@@ -4,27 +4,34 @@ from __future__ import annotations
 
 import atexit
 import os
+import pickle
 import shutil
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch sent to Python, unless the session has its own setting.
 BATCH_ROWS = 1000
+ROW_KEY = ("file", "row")
 _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; on one machine a folder of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="docloom-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -38,6 +45,57 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(staged: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    jvm = staged.sparkSession._jvm
+    conf = staged.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """A model that one executor task fits on a bounded sample; only the model comes to the driver.
+
+    ``fit`` must not depend on the order of the rows: a repeated task then gives the same model.
+    """
+    prepare(rows.sparkSession)
+    names = pa.schema([("model", pa.binary())])
+    schema = pa.schema([(f.name, t) for f, t in zip(rows.schema.fields, (to_arrow_type(f.dataType) for f in rows.schema.fields), strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [pa.Table.from_batches([b]).cast(schema) for b in batches if b.num_rows]
+        model = fit(pa.concat_tables(held) if held else schema.empty_table())
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(model), 1)], pa.binary())], schema=names)
+
+    # An empty sample has no task of its own: fit on nothing here.
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(zlib.decompress(found[0]["model"])) if found else fit(schema.empty_table())
+
+
+def salted(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join where a key may hold a large share of the left rows: its rows are dealt over ``salts`` tasks, the right rows copied to each.
+
+    Neither side may have columns named as the salt.
+    """
+    name = "salt" + "_" * max(map(len, [*left.columns, *right.columns]))
+    dealt = left.withColumn(name, F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
+    copied = right.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(copied, [*on, name], how).drop(name)
+
+
+def row_keys(docs: DataFrame) -> DataFrame | None:
+    """docs with two more columns that tell rows apart, from the files they are read from; None where docs is no plain file scan."""
+    if "_metadata" in docs.columns:
+        return None
+    file, row = ROW_KEY
+    pad = "_" * max(map(len, docs.columns))
+    try:
+        return docs.select("*", F.col("_metadata.file_path").alias(file + pad), F.col("_metadata.row_index").alias(row + pad))
+    except AnalysisException:
+        return None
+
+
 def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches by rows, and let workers import this package where the driver got it from."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
@@ -74,14 +132,22 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+def hash_edge(rows: int, many: int) -> int:
+    """A bound below which about twice ``rows`` of ``many`` evenly spread 63-bit hashes lie."""
+    return min(2**63 - 1, (2 * rows + 100) * 2**63 // max(1, many))
+
+
 def hashed_sample(df: DataFrame, rows: int, key: Column, salt: str = "train") -> DataFrame:
     """At most ``rows`` rows, those with the smallest salted hashes of ``key``: independent of row order.
 
-    The bound is found on the key alone, so whole rows are only read where they are chosen.
+    Rows that are equal in ``key`` count once and give one row, so ``key`` should hold all that is used. About
+    twice the rows pass a first threshold; only they are sorted.
     """
-    rank = F.xxhash64(key, F.lit(salt))
-    bound = df.select(rank.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    return df.where(rank <= F.lit(bound)).limit(rows) if bound is not None else df.limit(0)
+    name = "h" + "_" * max(map(len, df.columns))
+    rank = F.shiftrightunsigned(F.xxhash64(key, F.lit(salt)), 1)
+    many = df.agg(F.approx_count_distinct(rank, 0.02).alias("n")).first()["n"]
+    edge = hash_edge(rows, many)
+    return df.withColumn(name, rank).where(F.col(name) <= F.lit(edge)).dropDuplicates([name]).orderBy(name).limit(rows).drop(name)
 
 
 def filter_batches(docs: DataFrame, column: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:

@@ -7,7 +7,7 @@ Python; the cost per byte is a handful of NumPy passes. Null texts are empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +38,61 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut a column into runs of rows of about ``limit`` bytes: (first row, end row, bytes, offsets)."""
+def slices(
+    data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES, cut: Callable[[np.ndarray], np.ndarray] | None = None
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cut a column into runs of rows of about ``limit`` bytes: (first row, end row, bytes, offsets).
+
+    With ``cut`` (bytes → places where a text may be cut), a longer text comes in parts: several results in a row
+    that name this row alone. A text with no such place comes whole.
+    """
     n, i = len(offsets) - 1, 0
     while i < n:
+        if cut is not None and offsets[i + 1] - offsets[i] > limit:
+            yield from ((i, i + 1, data[a:b], np.array([0, b - a])) for a, b in parts_of(data, int(offsets[i]), int(offsets[i + 1]), limit, cut))
+            i += 1
+            continue
         j = int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1
         j = min(n, max(i + 1, j))
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
 
+def parts_of(data: np.ndarray, start: int, stop: int, limit: int, cut: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Bounds of the parts of one text: about ``limit`` bytes each, longer where no cut is allowed."""
+    while stop - start > limit:
+        look, end = start + 1, start + limit
+        places = cut(data[look:end])
+        while not len(places) and end < stop:  # look on, with a few bytes seen again
+            look, end = end - 4, min(stop, end + limit)
+            places = cut(data[look:end])
+        if not len(places):
+            break
+        end = look + int(places[-1] if look == start + 1 else places[0])
+        yield start, end
+        start = end
+    yield start, stop
+
+
+_ALPHA = np.zeros(256, bool)
+_ALPHA[65:91] = _ALPHA[97:123] = True
+_NO_WORD = np.ones(256, bool)
+_NO_WORD[48:58] = _NO_WORD[128:] = False
+_NO_WORD[_ALPHA] = False
+
+
+def between_words(data: np.ndarray) -> np.ndarray:
+    """Places of ASCII bytes that are no letter and no digit: no word reaches over them."""
+    return np.flatnonzero(_NO_WORD[data])
+
+
+def between_plain_words(data: np.ndarray) -> np.ndarray:
+    """Places of blanks between two ASCII letters."""
+    if len(data) < 3:
+        return np.zeros(0, np.int64)
+    return np.flatnonzero((data[1:-1] == 32) & _ALPHA[data[:-2]] & _ALPHA[data[2:]]) + 1
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _ASCII_LOWER[data]
 
