@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from docloom.llm.langid_crf import words_of
-from docloom.llm.plumbing import filter_batches, hashed_sample, id_crc, map_batches, record
-from docloom.llm.textcore import buffers, segment_sum, slices
+from docloom.llm.plumbing import filter_batches, fit_in_task, hashed_sample, id_crc, map_batches, record
+from docloom.llm.textcore import between_words, buffers, segment_sum, slices
 
 #: Bounds of the training sample.
 POSITIVES, UNLABELLED = 2000, 4000
@@ -73,16 +73,25 @@ class Classifier:
     weights: np.ndarray
     bias: float
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def found(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Sorted distinct text × words + place among the words with a weight."""
         codes, words, before = words_of(data, offsets)
-        n, k = len(offsets) - 1, len(self.words)
-        z = np.full(n, self.bias)
-        if k and len(codes):
-            h, bounds = _hashed(words)
-            at = np.minimum(np.searchsorted(self.words, h), k - 1)
-            at[self.words[at] != h] = -1
-            pairs = _pairs(codes, before, at, bounds, k)
-            z += np.bincount(pairs // k, self.weights[pairs % k], n)
+        k = len(self.words)
+        if not k or not len(codes):
+            return np.zeros(0, np.int64)
+        h, bounds = _hashed(words)
+        at = np.minimum(np.searchsorted(self.words, h), k - 1)
+        at[self.words[at] != h] = -1
+        return _pairs(codes, before, at, bounds, k)
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """The score of each text; parts of a long text count a word once together."""
+        n, k = len(texts), max(1, len(self.words))
+        pairs = [np.zeros(0, np.int64)]
+        for i, _, chunk, at in slices(*buffers(texts), cut=between_words):
+            pairs.append(self.found(chunk, at) + i * k)
+        once = np.unique(np.concatenate(pairs))
+        z = self.bias + (np.bincount(once // k, self.weights[once % k], n) if len(once) else np.zeros(n))
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
@@ -144,21 +153,31 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     texts = docs.where(F.col("text").isNotNull() & (id_crc() % 5 != 0)).select("doc_id", "text")
     # At most `positives` ids are sent.
     ids = hashed_sample(learned.where("toxic = 1").select("doc_id").distinct(), positives, F.col("doc_id"), "toxic")
-    schema = pa.schema([("buckets", pa.list_(pa.int64()))])
+    schema = pa.schema([("toxic", pa.bool_()), ("words", pa.list_(pa.int64()))])
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        bucket, bounds = word_sets(*buffers(batch.column(0)))
-        yield record(schema, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(bucket, pa.int64())))
-
-    def rows(df: DataFrame) -> list[np.ndarray]:
-        return [np.asarray(x) for x in map_batches(df.select("text"), one, "buckets array<long>").toArrow()["buckets"].combine_chunks().to_numpy(zero_copy_only=False)]
-
-    toxic = texts.join(F.broadcast(ids), "doc_id", "left_semi").limit(positives)
-    return fit(rows(toxic), rows(hashed_sample(texts, unlabelled, F.col("doc_id"), "unlabelled")), prior)
+        sets: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
+        for i, j, chunk, at in slices(*buffers(batch.column(1)), cut=between_words):
+            words, bounds = word_sets(chunk, at)
+            for k in range(i, j):
+                sets[k].append(words[bounds[k - i] : bounds[k - i + 1]])
+        yield record(schema, batch.column(0), [np.unique(np.concatenate(s)) for s in sets])
+
+    def fit_sample(rows: pa.Table) -> Classifier:
+        toxic = np.asarray(rows["toxic"].combine_chunks().to_numpy(zero_copy_only=False), bool)
+        sets = rows["words"].combine_chunks().to_numpy(zero_copy_only=False) if rows.num_rows else []
+        # In an order of their own, so that the result is the same whatever the order of arrival.
+        key = lambda x: (len(x), x.tobytes())
+        return fit(*(sorted((np.asarray(x, np.int64) for x, y in zip(sets, toxic, strict=True) if y == side), key=key) for side in (True, False)), prior)
+
+    toxic = hashed_sample(texts.join(F.broadcast(ids), "doc_id", "left_semi"), positives, F.struct("doc_id", "text"), "toxic")
+    other = hashed_sample(texts, unlabelled, F.struct("doc_id", "text"), "unlabelled")
+    both = toxic.select(F.lit(True).alias("toxic"), "text").unionByName(other.select(F.lit(False).alias("toxic"), "text"))
+    return fit_in_task(map_batches(both, one, "toxic boolean, words array<long>"), fit_sample)
 
 
 def judge(model: Classifier, texts: pa.Array) -> np.ndarray:
-    return np.concatenate([np.zeros(0), *(model.scores(chunk, at) for _, _, chunk, at in slices(*buffers(texts)))])
+    return model.scores(texts)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -182,6 +201,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents scored below the threshold; rows pass through, nothing is joined."""
+    """Documents scored below the threshold; rows pass through, nothing is joined.
+
+    Defined results: null and empty texts have the base score (and stay unless that is toxic); without any toxic label
+    every document stays; repeated rows and rows without id are judged each by its text; extra columns pass through.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     return filter_batches(docs, "text", lambda texts: judge(shared.value, texts) < THRESHOLD)
