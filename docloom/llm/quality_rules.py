@@ -13,10 +13,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.plumbing import hashed_sample, id_crc
+from docloom.llm.plumbing import fit_in_task, hashed_sample, id_crc
 
 #: Bound of the training sample.
 TRAIN_ROWS = 6000
@@ -164,11 +165,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> RuleEns
     learned = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (id_crc() % 4 != 2))
     # At most `rows` labels are sent to the join.
     sample = hashed_sample(learned.groupBy("doc_id").agg(F.avg("quality").alias("quality")), rows, F.col("doc_id"), "quality")
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").limit(rows)
+    joined = hashed_sample(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), rows, F.struct("doc_id", "text"), "quality")
     table, names = with_statistics(joined, ["quality"])
-    data = table.toPandas()
-    y = (data["quality"].to_numpy(float) >= 0.5).astype(float)
-    return fit(data[[f"__s_{k}" for k in names]].to_numpy(float), y, names)
+
+    def fit_sample(rows: pa.Table) -> RuleEnsemble:
+        data = np.stack([rows[k].to_numpy().astype(float) for k in ("quality", *(f"__s_{k}" for k in names))], axis=1) if rows.num_rows else np.zeros((0, len(names) + 1))
+        data = data[np.lexsort(data.T[::-1])]  # the same rules whatever the order of arrival
+        return fit(data[:, 1:], (data[:, 0] >= 0.5).astype(float), names)
+
+    return fit_in_task(table.select("quality", *(f"__s_{k}" for k in names)), fit_sample)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
