@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from docloom.llm.graph import connected_components, local_components
-from docloom.llm.plumbing import map_batches, prepare, record, stage
+from docloom.llm.graph import connected_components, join_low, local_components
+from docloom.llm.plumbing import map_batches, prepare, record, row_keys, stage
 from docloom.llm.textcore import buffers, lower_ascii, runs, slices
 
 SHINGLE = 3
@@ -62,24 +62,36 @@ def _majority(hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """64-bit SimHash of each text; no words: zero."""
-    low = lower_ascii(data)
-    starts, ends, before = runs(~_SPACE[low], offsets)
+#: Shingles hashed at once: bounds the working arrays, however long a text is.
+SHINGLES_AT_ONCE = 300_000
+
+
+def _hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """XXH64 of the words first[i] … last[i], space-joined; the words are the byte spans of ``low``."""
+    a, b = int(first[0]), int(last[-1]) + 1
+    starts, ends, first, last = starts[a:b], ends[a:b], first - a, last - a
     # One blank between words: only then is a shingle a stretch of bytes.
     lengths = ends - starts
     packed = np.full(int(lengths.sum()) + len(lengths), 32, np.uint8)
     to = np.cumsum(lengths + 1) - lengths - 1
-    at = np.arange(int(lengths.sum())) + np.repeat(to - (np.cumsum(lengths) - lengths), lengths)
-    packed[at] = low[~_SPACE[low]]
+    begin = np.cumsum(lengths) - lengths
+    at = np.arange(int(lengths.sum()))
+    packed[at + np.repeat(to - begin, lengths)] = low[at + np.repeat(starts - begin, lengths)]
+    raw, h = packed.tobytes(), xxhash.xxh64_intdigest
+    return np.fromiter((h(raw[s:e], SEED) for s, e in zip(to[first].tolist(), (to[last] + lengths[last]).tolist(), strict=True)), np.uint64, len(first))
+
+
+def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit SimHash of each text; no words: zero."""
+    low = lower_ascii(data)
+    starts, ends, before = runs(~_SPACE[low], offsets)
     words = before[1:] - before[:-1]
     shingles = np.where(words >= shingle, words - shingle + 1, np.minimum(words, 1))
     begin = np.cumsum(shingles) - shingles
     first = np.arange(int(shingles.sum())) + np.repeat(before[:-1] - begin, shingles)
     last = first + np.repeat(np.minimum(words, shingle), shingles) - 1
-    raw, h = packed.tobytes(), xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(raw[s:e], SEED) for s, e in zip(to[first].tolist(), (to[last] + lengths[last]).tolist(), strict=True)), np.uint64, len(first))
-    return _majority(hashes, np.append(begin, shingles.sum()))
+    parts = [_hashes(low, starts, ends, first[i : i + SHINGLES_AT_ONCE], last[i : i + SHINGLES_AT_ONCE]) for i in range(0, len(first), SHINGLES_AT_ONCE)]
+    return _majority(np.concatenate([np.zeros(0, np.uint64), *parts]), np.append(begin, shingles.sum()))
 
 
 _FINGER = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -231,33 +243,43 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
     Defined results: null and empty texts have fingerprint zero and link like any
     other; repeated rows are returned each; null ids stay and never are a component's
-    id unless all its ids are null; an empty table gives no rows.
+    id unless all its ids are null; an empty table gives no rows; extra columns are ignored.
     """
     if not 0 <= distance <= DISTANCE:
         raise ValueError("the keys find links of at most 3 differing bits")
     rows = stage(document_fingerprints(docs, shingle), "fingerprints")
-    low = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprint-set")
-    rooted = _rooted(low, distance, block)
-    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    low = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "fingerprint-set")
+    rooted = stage(_rooted(low.select("fp", "low"), distance, block), "rooted")
+    total = rooted.count()
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    named = join_low(rooted.select("fp", "root"), least, "root", total).select("fp", "component_id").join(low.select("fp", "n"), "fp")
+    return join_low(rows, named, "fp", rows.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Keep one row of each component: that of its smallest id, null ids last; of rows with that id, the first as staged.
+    """Keep one row of each component: that of its smallest id, null ids last; of rows with that id, the first one.
 
-    Rows are told apart by a key of their own, so repeated and null ids neither save nor cost a text.
+    Rows are told apart by the file and the row that they are read from, or, where docs is no plain scan of files, by a
+    key that is staged with them. Defined results: repeated and null ids neither save nor cost a text; null and empty
+    texts are one another's copies; an empty table gives no rows; extra columns pass through.
     """
     pad = "_" * max(map(len, docs.columns))  # no column of the table has these names
-    key, fp = f"key{pad}", f"fp{pad}"
-    numbered = docs.withColumn(key, F.monotonically_increasing_id())
-    at = docs.columns.index("text")
+    keyed = row_keys(docs)
+    if keyed is None:
+        keyed = stage(docs.withColumn(f"row{pad}", F.monotonically_increasing_id()), "near-dedup-rows")
+    key = [c for c in keyed.columns if c not in docs.columns]
+    narrow = keyed.select(*key, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    fields = [narrow.schema[c] for c in (*key, "doc_id")]
+    schema = StructType([*fields, StructField("fp", LongType())])
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fps = [fingerprints(chunk, offsets) for _, _, chunk, offsets in slices(*buffers(batch.column(at)))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(fps).view(np.int64))], names=[*batch.schema.names, fp])
-
-    staged = stage(map_batches(numbered, one, StructType([*numbered.schema.fields, StructField(fp, LongType())])), "fingerprinted")
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").cast("long").alias("id"), F.col(key).alias("key"))
-    low = stage(staged.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("low")), "fingerprint-set")
-    first = _rooted(low, DISTANCE, BLOCK).groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.key").alias(key))
-    return staged.join(first, key, "left_semi").select(*docs.columns)
+        fps = [fingerprints(chunk, offsets) for _, _, chunk, offsets in slices(*buffers(batch.column(len(fields))))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(fps).view(np.int64))], names=schema.names)
+
+    rows = stage(map_batches(narrow, one, schema), "fingerprinted")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), *key)
+    low = stage(rows.groupBy("fp").agg(F.min(order).alias("low"), F.count("*").alias("n")), "fingerprint-set")
+    rooted = _rooted(low.select("fp", "low"), DISTANCE, BLOCK)
+    first = rooted.groupBy("root").agg(F.min("low").alias("low")).select(*(F.col("low")[k].alias(k) for k in key))
+    # Those that go are fewer than those that stay.
+    return keyed.join(rows.select(*key).join(first, key, "left_anti"), key, "left_anti").select(*docs.columns)
