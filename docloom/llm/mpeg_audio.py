@@ -1,9 +1,11 @@
-"""MPEG audio (Layer III) columns: write, parse, resynchronise, verify, seek.
+"""MPEG audio columns: write, parse, resynchronise, verify, seek.
 
-``parse`` reads any stream: ID3v2 tags in front, an ID3v1 tag behind, frame headers
-found by synchronisation (a header counts if the next one follows where it says, or
-the stream ends there), a Xing/Info or VBRI table in the first frame, CRC-16 of
-protected frames, exact duration in samples and the byte place of each frame.
+``parse`` reads any stream: ID3v2 tags in front (unsynchronised ones and extended
+headers too), an ID3v1 tag where frames have ended, frame headers found by
+synchronisation (a header counts if the next one follows where it says, or the stream
+ends there), a Xing/Info or VBRI table in the first frame, CRC-16 of protected frames
+of all three layers, exact duration in samples and the byte place of each frame.
+What lies inside a frame is never taken for a tag or a header.
 
 ``carry`` stores bytes losslessly in the main-data part of protected variable-bitrate
 frames, as many bytes per frame as its bitrate leaves; the payload's length stands in
@@ -43,6 +45,16 @@ RATES = {
 SAMPLING = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 
 
+#: Layer II allocation widths in bits, as (bits, subbands) runs: MPEG-1 tables a to d, and that of MPEG-2.
+ALLOCATION = {
+    "a": ((4, 11), (3, 12), (2, 4)),
+    "b": ((4, 11), (3, 12), (2, 7)),
+    "c": ((4, 2), (3, 6)),
+    "d": ((4, 2), (3, 10)),
+    "low": ((4, 4), (3, 7), (2, 19)),
+}
+
+
 @dataclass(frozen=True)
 class Header:
     version: int  # 1: MPEG-1, 2: MPEG-2 and MPEG-2.5
@@ -51,6 +63,7 @@ class Header:
     kbps: int
     hz: int
     mono: bool
+    joint: int  # first subband that both channels share; 32: none
     samples: int
     size: int
     side: int
@@ -67,7 +80,8 @@ def header(word: int) -> Header | None:
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 1 else 576
     size = (12000 * kbps // hz + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // hz + pad
     side = 0 if layer < 3 else (17 if mono else 32) if version == 1 else (9 if mono else 17)
-    return Header(version, layer, not word >> 16 & 1, kbps, hz, mono, samples, size, side)
+    joint = 4 * (word >> 4 & 3) + 4 if word >> 6 & 3 == 1 else 32
+    return Header(version, layer, not word >> 16 & 1, kbps, hz, mono, joint, samples, size, side)
 
 
 @lru_cache(1)
@@ -81,14 +95,54 @@ def _crc_table() -> tuple[int, ...]:
     return tuple(out)
 
 
-def crc16(data: bytes) -> int:
-    """CRC-16 of MPEG audio (polynomial 0x8005, start 0xFFFF)."""
-    table, value = _crc_table(), 0xFFFF
-    for byte in data:
+def crc16(data: bytes, bits: int = 0, value: int = 0xFFFF) -> int:
+    """CRC-16 of MPEG audio (polynomial 0x8005, start 0xFFFF) of whole bytes and the first ``bits`` bits of one more."""
+    table = _crc_table()
+    for byte in data[:-1] if bits else data:
         value = (value << 8 & 0xFF00) ^ table[value >> 8 ^ byte]
+    for k in range(bits):
+        top = value >> 15 ^ data[-1] >> (7 - k) & 1
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if top else 0)
     return value
 
 
+def _allocation(h: Header) -> list[int]:
+    """Layer II: width of the allocation field of each subband."""
+    each = h.kbps if h.mono else h.kbps // 2
+    if h.version == 2:
+        name = "low"
+    elif each in (32, 48):
+        name = "d" if h.hz == 32000 else "c"
+    else:
+        name = "a" if h.hz == 48000 or each <= 80 else "b"
+    return [bits for bits, many in ALLOCATION[name] for _ in range(many)]
+
+
+def covered_bits(h: Header, body: bytes) -> int:
+    """Bits after the CRC that it covers: side information (III), allocation (I), allocation and scale-factor selection (II)."""
+    channels = 1 if h.mono else 2
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (32 if h.mono else 32 + min(h.joint, 32))
+    value, width, at, chosen = int.from_bytes(body, "big"), 8 * len(body), 0, 0
+    for band, bits in enumerate(_allocation(h)):
+        own = channels if band < h.joint else 1
+        for _ in range(own):
+            used = value >> max(0, width - at - bits) & ((1 << bits) - 1)
+            chosen += 2 * (channels if own == 1 else 1) if used else 0
+            at += bits
+    return at + chosen
+
+
+def crc_fails(data: bytes, at: int, h: Header) -> bool:
+    """Whether the protected frame at ``at`` doesn't have the checksum that it carries."""
+    body = data[at + 6 : at + min(h.size, 6 + 64)]
+    bits = min(covered_bits(h, body), 8 * len(body))
+    own = data[at + 2 : at + 4] + body[: -(-bits // 8)]
+    return crc16(own, bits % 8) != int.from_bytes(data[at + 4 : at + 6], "big")
+
+
 @dataclass
 class Stream:
     tags: dict[str, str] = field(default_factory=dict)
@@ -117,18 +171,23 @@ def _id3v2(data: bytes, tags: dict[str, str]) -> int:
     """Read the tag in front; returns where it ends."""
     if data[:3] != b"ID3" or len(data) < 10:
         return 0
-    end = min(len(data), 10 + _synchsafe(data[6:10]))
-    at, major = 10, data[3]
-    while at + 10 <= end and data[at : at + 4].strip(b"\0"):
-        size = _synchsafe(data[at + 4 : at + 8]) if major >= 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        name, body = data[at : at + 4].decode("latin-1"), data[at + 10 : min(end, at + 10 + size)]
+    major, flags, end = data[3], data[5], min(len(data), 10 + _synchsafe(data[6:10]))
+    raw = data[10:end]
+    if flags & 0x80:  # unsynchronised: a zero byte stands after each 0xFF
+        raw = raw.replace(b"\xff\0", b"\xff")
+    at = 0
+    if flags & 0x40 and len(raw) >= 4:  # an extended header: its size counts itself from version 4 on
+        at = _synchsafe(raw[:4]) if major >= 4 else 4 + int.from_bytes(raw[:4], "big")
+    while at + 10 <= len(raw) and raw[at : at + 4].strip(b"\0"):
+        size = _synchsafe(raw[at + 4 : at + 8]) if major >= 4 else int.from_bytes(raw[at + 4 : at + 8], "big")
+        name, body = raw[at : at + 4].decode("latin-1"), raw[at + 10 : at + 10 + size]
         if name == "TXXX":
             key, _, value = _text(body).partition("\0")
             tags[f"TXXX:{key}"] = value.rstrip("\0")
         elif name[0] == "T":
             tags[name] = _text(body).rstrip("\0")
         at += 10 + size
-    return end
+    return min(len(data), end + 10) if flags & 0x10 and major >= 4 else end  # a footer
 
 
 def _table(data: bytes, at: int, h: Header, out: Stream) -> None:
@@ -154,36 +213,46 @@ def _table(data: bytes, at: int, h: Header, out: Stream) -> None:
             out.seek.append(total)
 
 
+def _id3v1(data: bytes, at: int, tags: dict[str, str]) -> None:
+    for key, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
+        if value := data[at + a : at + b].rstrip(b"\0 ").decode("latin-1"):
+            tags[f"v1:{key}"] = value
+
+
 def parse(data: bytes) -> Stream:
-    """Read a whole stream; bytes that belong to no frame or tag are counted in ``skipped``."""
+    """Read a whole stream; bytes that belong to no frame or tag are counted in ``skipped``.
+
+    An ID3v1 tag counts where a frame ends (or where no frame is being read) 128 bytes before the stream's end, so
+    that the same letters inside a frame mean nothing.
+    """
     out = Stream()
     at, stop = _id3v2(data, out.tags), len(data)
-    if stop - at >= 128 and data[-128:-125] == b"TAG":
-        stop -= 128
-        for key, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
-            if value := data[stop + a : stop + b].rstrip(b"\0 ").decode("latin-1"):
-                out.tags[f"v1:{key}"] = value
+    tag = stop - 128 if data[-128:-125] == b"TAG" else -1
     locked = False
-    while at + 4 <= stop:
-        h = header(int.from_bytes(data[at : at + 4], "big"))
+    while at < stop:
+        if at == tag:
+            _id3v1(data, at, out.tags)
+            stop = at
+            break
+        h = header(int.from_bytes(data[at : at + 4], "big")) if at + 4 <= stop else None
         after = at + h.size if h else 0
-        if h and after <= stop and (locked or after == stop or header(int.from_bytes(data[after : after + 4], "big"))):
+        if h and after <= stop and (locked or after in (stop, tag) or header(int.from_bytes(data[after : after + 4], "big"))):
             if not out.frames:
                 _table(data, at, h, out)
                 out.hz = h.hz
-            if h.protected and h.layer == 3:
+            if h.protected:
                 out.crc_checked += 1
-                own = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]
-                out.crc_failed += crc16(own) != int.from_bytes(data[at + 4 : at + 6], "big")
+                out.crc_failed += crc_fails(data, at, h)
             out.frames.append((at, h))
             at, locked = after, True
             continue
         locked = False
         following = data.find(b"\xff", at + 1, stop)
         following = stop if following < 0 else following
+        if at < tag < following:
+            following = tag
         out.skipped += following - at
         at = following
-    out.skipped += stop - at if at < stop else 0
     out.samples = sum(h.samples for _, h in out.frames[1 if out.table else 0 :])
     return out
 
@@ -247,7 +316,11 @@ _PARSED = pa.schema(
 
 
 def parse_column(media: DataFrame, column: str = "media", key: str = "doc_id") -> DataFrame:
-    """key, and for each stream: frames, samples, hz, skipped, crc_checked, crc_failed, table, tags, frame offsets. Null or foreign bytes: no frames."""
+    """key, and for each stream: frames, samples, hz, skipped, crc_checked, crc_failed, table, tags, frame offsets.
+
+    Defined results: null or foreign bytes have no frames; repeated and equal streams give equal values; an empty table
+    gives no rows; other columns are ignored.
+    """
     kind = media.schema[key].dataType.simpleString()
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -283,7 +356,7 @@ def media_column(docs: DataFrame) -> DataFrame:
     """Store each text as a media column, read the stored bytes back and describe them.
 
     Defined results: a null or empty text gives a payload of 64 zero bytes; repeated
-    rows and equal texts give equal values; an empty table gives no rows.
+    rows and equal texts give equal values; an empty table gives no rows; extra columns are ignored.
     """
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
