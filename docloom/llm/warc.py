@@ -11,27 +11,33 @@ in base 32, as archives write them.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.plumbing import map_batches
+from docloom.llm.plumbing import map_batches, record
 
 VERSION = "WARC/1.1"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>")
-_BREAK = re.compile(r"(?i)<(?:/?(?:p|div|section|article|header|footer|nav|aside|ul|ol|li|table|tr|h[1-6]|blockquote|pre|title|body|head|html|figure|form|main)|br|hr)\b[^>]*>")
-_TAG = re.compile(r"(?s)<[a-zA-Z/][^>]*>")
-_TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title\s*>")
-_LANG = re.compile(r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-zA-Z-]+)""")
-_LINK = re.compile(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']""")
+#: Elements whose content is no text, and elements that begin a new line.
+HIDDEN = frozenset("script style noscript template".split())
+LINES = frozenset(
+    "p div section article header footer nav aside ul ol li table tr h1 h2 h3 h4 h5 h6 blockquote pre title body head html figure form main br hr".split()
+)
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")
+_LANG = re.compile(r"""(?i)\slang\s*=\s*["']?([a-zA-Z-]+)""")
+_HREF = re.compile(r"""(?i)\shref\s*=\s*["']([^"']*)["']""")
 _BLANKS = re.compile(r"[^\S\n]+")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def digest(block: bytes) -> str:
@@ -43,21 +49,74 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMES, chr(0).join(parts))}>"
 
 
+@dataclass
+class Page:
+    text: str
+    title: str | None
+    language: str | None
+    links: list[str]
+
+
+def read_page(markup: str) -> Page:
+    """Visible text, title, language and links in one pass from left to right; the time grows with the length, whatever the markup.
+
+    Scripts, styles, templates and comments go, with what they hold, if they are closed; tags go, block tags break
+    lines; entities are resolved; a ``<`` that begins no tag stays, as does a tag that is never closed.
+    """
+    low, out, links = markup.lower(), [], {}
+    if len(low) != len(markup):  # some capitals have two small characters
+        low = markup.translate(_LOWER)
+    title = language = None
+    missing: set[str] = set()  # closings that are not ahead any more
+
+    def ahead(what: str, at: int) -> int:
+        found = -1 if what in missing else low.find(what, at)
+        if found < 0:
+            missing.add(what)
+        return found
+
+    at = 0
+    while (lt := low.find("<", at)) >= 0:
+        out.append(markup[at:lt])
+        if low.startswith("<!--", lt) and (end := ahead("-->", lt + 4)) >= 0:
+            out.append(" ")
+            at = end + 3
+            continue
+        name = _NAME.match(low, lt + 1)
+        kind = name[1] if name else ""
+        if not (kind or low.startswith(("</", "<!doctype"), lt)) or (gt := ahead(">", lt + 1)) < 0:
+            out.append("<")
+            at = lt + 1
+            continue
+        closing, at = low[lt + 1] == "/", gt + 1
+        if kind in HIDDEN and not closing and (end := ahead(f"</{kind}", at)) >= 0 and (gt := ahead(">", end)) >= 0:
+            out.append(" ")
+            at = gt + 1
+            continue
+        if kind == "title" and title is None and not closing and (end := ahead("</title", at)) >= 0:
+            title = " ".join(html.unescape(markup[at:end]).split())
+        elif not closing and kind in ("html", "a"):
+            tag = markup[lt:gt]
+            if kind == "html" and language is None and (found := _LANG.search(tag)):
+                language = found[1].lower()
+            elif kind == "a" and (found := _HREF.search(tag)):
+                links[html.unescape(found[1])] = None
+        out.append("\n" if kind in LINES else " " if low.startswith("<!doctype", lt) else "")
+    out.append(markup[at:])
+    lines = (_BLANKS.sub(" ", line).strip() for line in html.unescape("".join(out)).split("\n"))
+    return Page("\n".join(line for line in lines if line), title, language, list(links))
+
+
 def plain_text(markup: str) -> str:
-    """Visible text: scripts, styles and comments go, block tags break lines, entities are resolved."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", markup)))
-    lines = (_BLANKS.sub(" ", line).strip() for line in html.unescape(text).split("\n"))
-    return "\n".join(line for line in lines if line)
+    return read_page(markup).text
 
 
-def metadata_fields(markup: str, text: str) -> list[tuple[str, str]]:
+def metadata_fields(page: Page) -> list[tuple[str, str]]:
     """What a metadata record says, in order; links once each, in first-seen order."""
-    title = _TITLE.search(markup)
-    lang = _LANG.search(markup)
-    fields = [("title", " ".join(html.unescape(title[1]).split()))] if title else []
-    fields += [("language", lang[1].lower())] if lang else []
-    fields += [("text-characters", str(len(text))), ("text-lines", str(text.count("\n") + 1 if text else 0))]
-    return fields + [("outlink", html.unescape(x)) for x in dict.fromkeys(_LINK.findall(markup))]
+    fields = [("title", page.title)] if page.title is not None else []
+    fields += [("language", page.language)] if page.language else []
+    fields += [("text-characters", str(len(page.text))), ("text-lines", str(page.text.count("\n") + 1 if page.text else 0))]
+    return fields + [("outlink", x) for x in page.links]
 
 
 def serialize(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -90,6 +149,70 @@ def split_http(block: bytes) -> tuple[list[str], bytes]:
     return (head.decode("latin-1").split("\r\n"), payload) if found and head.startswith(b"HTTP/") else ([], block)
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """The gzip members of a file, one after another; a file that isn't gzip is one member; a damaged one ends the file."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data[:2] == b"\x1f\x8b":
+        unzip = zlib.decompressobj(31)
+        try:
+            yield unzip.decompress(data)
+        except zlib.error:
+            return
+        data = unzip.unused_data.lstrip(b"\0")
+
+
+def _charset(lines: list[str], payload: bytes) -> str:
+    declared = [re.search(r"(?i)charset\s*=\s*[\"']?([\w.:-]+)", line) for line in lines if line.lower().startswith("content-type:")]
+    declared.append(re.search(r"""(?i)<meta[^<>]{0,200}charset\s*=\s*["']?([\w.:-]+)""", payload[:4096].decode("latin-1")))
+    for found in declared:
+        if found:
+            try:
+                return codecs.lookup(found[1]).name
+            except LookupError:
+                continue
+    return "utf-8"
+
+
+_RECORDS = pa.schema(
+    [("file", pa.string()), ("place", pa.int64())] + [(k, pa.string()) for k in ("record_type", "record_id", "target_uri", "warc_date")] + [("headers", pa.list_(pa.string())), ("payload", pa.string())]
+)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the WARC files under a path, plain or gzip (a member or several): file, place, record_type, record_id, target_uri, warc_date, headers, payload.
+
+    A response's headers are its HTTP lines and its payload is decoded by their charset, the page's own, or UTF-8; other
+    records (warcinfo, request, …) have no such lines and their block as payload. Files are read whole, one a task at a
+    time: keep them below 2 GB. Defined results: a damaged or cut record ends its file; an empty folder gives no rows.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{warc,warc.gz}").load(path)
+
+    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            place = 0
+            for member in members(content.as_buffer().to_pybytes()):
+                rows = []
+                for headers, block in parse_records(member):
+                    known = {k.lower(): v for k, v in headers}
+                    kind = known.get("warc-type")
+                    lines, payload = split_http(block) if kind == "response" else ([], block)
+                    body = payload.decode(_charset(lines, payload), "replace")
+                    rows.append((name, place, kind, known.get("warc-record-id"), known.get("warc-target-uri"), known.get("warc-date"), lines, body))
+                    place += 1
+                if rows:
+                    yield record(_RECORDS, *(list(c) for c in zip(*rows, strict=True)))
+
+    ddl = "file string, place long, record_type string, record_id string, target_uri string, warc_date string, headers array<string>, payload string"
+    return map_batches(files.select("path", "content"), one, ddl)
+
+
+def file_derivatives(spark: SparkSession, path: str) -> DataFrame:
+    """The derivatives of all responses in the WARC files under a path, with the file that each comes from."""
+    return derivatives(read_warc(spark, path).where("record_type = 'response'"), "file")
+
+
 _COLUMNS = "record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_payload_digest string, source_headers array<string>, content string"
 _ARROW = pa.schema(
     [(k, pa.string()) for k in ("record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "warc_date", "content_type")]
@@ -100,9 +223,12 @@ _ARROW = pa.schema(
 def derive(response_id: str, target: str, date: str, lines: list[str], payload: str) -> list[tuple]:
     """The metadata and the conversion record of one response."""
     source = digest(payload.encode())
-    text = plain_text(payload)
-    meta = "".join(f"{k}: {v}\r\n" for k, v in metadata_fields(payload, text))
-    ids = {kind: record_id(kind, response_id) for kind in ("metadata", "conversion")}
+    page = read_page(payload)
+    text = page.text
+    meta = "".join(f"{k}: {v}\r\n" for k, v in metadata_fields(page))
+    # A response without id is told apart by what it says.
+    known = [response_id] if response_id else ["", target or "", date or "", source]
+    ids = {kind: record_id(kind, *known) for kind in ("metadata", "conversion")}
     out = []
     for kind, body, form in (("metadata", meta, "application/warc-fields"), ("conversion", text, "text/plain; charset=UTF-8")):
         block = body.encode()
@@ -114,7 +240,9 @@ def derivatives(responses: DataFrame, keep: str) -> DataFrame:
     """Two records per response (record_id, target_uri, warc_date, headers, payload), with the column ``keep``.
 
     Defined results: a null payload is empty (empty text, no outlinks); a null target
-    stays null; repeated responses give their records again, with the same ids.
+    stays null; repeated responses give their records again, with the same ids; the ids
+    of a response without id come from its target, date and payload; an empty table gives
+    no rows; extra columns are ignored.
     """
     kind = responses.schema[keep].dataType.simpleString()
 
@@ -147,7 +275,11 @@ def _urn(h: Column) -> Column:
 
 
 def warc_files(derived: DataFrame) -> DataFrame:
-    """record_id, record: each derivative as the bytes of a WARC file's record."""
+    """record_id, record: each derivative as the bytes of a WARC file's record.
+
+    Defined results: headers without a value are left out; null content is an empty block; repeated records are written
+    each; an empty table gives no rows.
+    """
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
