@@ -1,41 +1,45 @@
 """URL filter by the ratio of two character language models.
 
 Rules (host, path prefix → allow or block) judge the URLs that they fit; the longest
-fitting rule wins. All rule-judged URLs of the table train two variable-order Markov
-models, one of accepted and one of rejected URLs: Witten-Bell smoothing blends the
-orders 0 to ``ORDER``, giving a longer context the more weight the more often it was
-seen against the number of different characters after it. Other URLs are judged by
-the log-likelihood difference per character against a threshold that is calibrated on
-the rule-judged URLs.
-
-Characters fold to ``len(ALPHABET) + 2`` = 42 symbols (all digits are one), so a model
-has at most 42 ** 4 = 3.1 million entries whatever the number of URLs; counts are gathered over all
-of them with partial sums before the shuffle.
+fitting rule wins. Other URLs are judged by two variable-order Markov models over
+bytes, one of accepted and one of rejected URLs: the difference of their
+log-likelihoods per byte against a calibrated threshold. Witten-Bell smoothing blends
+the orders 0 to ``ORDER``: a longer context counts the more, the more often it was
+seen against the number of different bytes after it, and an unseen one not at all. So
+contexts get longer where the URLs give reason to.
+
+The models are tables, not arrays: a window of ``ORDER`` + 1 = 8 bytes is one long, its
+context a shift and its shorter windows masks. Counts of all orders and their
+probabilities are Spark tables that grow with the URLs; order k is computed from order
+k - 1 by joins on windows, of which at most 256 share a context or a shorter window,
+so no key is hot. Only the windows of the URLs themselves can be: they are joined to
+their log-ratios with the hot ones broadcast (a bounded number).
+
+The models learn from four fifths of the rule-judged URLs, by a hash of the URL; the
+threshold is calibrated on the last fifth.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.plumbing import map_batches, record
-from docloom.llm.textcore import buffers, lower_ascii
+from docloom.llm.graph import join_low
+from docloom.llm.plumbing import map_batches, record, stage
+from docloom.llm.textcore import buffers
 
 #: The contract's rules (host, path prefix, verdict).
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-ALPHABET = b"abcdefghijklmnopqrstuvwxyz0-._/:?#=&%~+@"
-ORDER = 3
-BINS = 2000
-SPREAD = 10.0
-_SYMBOLS = len(ALPHABET) + 2  # 0: before the URL; last: any other byte
-_FOLD = np.full(256, _SYMBOLS - 1, np.int64)
-_FOLD[list(ALPHABET)] = np.arange(1, len(ALPHABET) + 1)
-_FOLD[48:58] = _FOLD[48]  # all digits are one symbol
+ORDER = 7
+BYTES = 256
+_MASKS = [(1 << 8 * (k + 1)) - 1 if k < ORDER else -1 for k in range(ORDER + 1)]  # the last k + 1 bytes of a window
+BINS, SPREAD = 2000, 10.0
+#: One in HELD_OUT rule-judged URLs calibrates the threshold.
+HELD_OUT = 5
 
 
 def host_of(url: Column) -> Column:
@@ -60,133 +64,123 @@ def apply_rules(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     return pages.withColumn("rule", none if name is None else name).withColumn("rule_verdict", none if verdict is None else verdict)
 
 
-def _windows(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code of each character with its ORDER predecessors, characters, url of each)."""
+def byte_windows(urls: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(a long of each byte and its ORDER predecessors, bytes of each URL); before a URL stand zero bytes."""
     data, offsets = buffers(urls)
-    symbol, size = _FOLD[lower_ascii(data)], np.diff(offsets)
-    owner = np.repeat(np.arange(len(size)), size)
+    size = np.diff(offsets)
     place = np.arange(len(data)) - np.repeat(offsets[:-1], size)
-    code, power = symbol.copy(), 1
-    for k in range(1, ORDER + 1):
-        power *= _SYMBOLS
-        before = np.zeros(len(data), np.int64)
-        before[k:] = symbol[:-k] if len(data) > k else symbol[:0]
+    window = data.astype(np.uint64)
+    for k in range(1, min(ORDER, len(data) - 1) + 1):
+        before = np.zeros(len(data), np.uint64)
+        before[k:] = data[:-k]
         before[place < k] = 0
-        code += before * power
-    return code, size, owner
-
-
-@dataclass
-class Markov:
-    """Counts by order: sorted codes of a context of k symbols and the next one."""
-
-    codes: list[np.ndarray]
-    counts: list[np.ndarray]
-
-    @classmethod
-    def of(cls, codes: np.ndarray, counts: np.ndarray) -> Markov:
-        all_codes, all_counts = [], []
-        for k in range(ORDER + 1):
-            kept, inverse = np.unique(codes % _SYMBOLS ** (k + 1), return_inverse=True)
-            all_codes.append(kept)
-            all_counts.append(np.bincount(inverse, counts, len(kept)) if len(kept) else np.zeros(0))
-        return cls(all_codes, all_counts)
-
-    def _contexts(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        context, inverse = np.unique(self.codes[k] // _SYMBOLS, return_inverse=True)
-        n = len(context)
-        return context, np.bincount(inverse, self.counts[k], n) if n else np.zeros(0), np.bincount(inverse, minlength=n).astype(float)
-
-    def log_probability(self, code: np.ndarray) -> np.ndarray:
-        """Log-probability of the last symbol of each window."""
-        p = np.full(len(code), 1 / _SYMBOLS)
-        for k in range(ORDER + 1):
-            if not len(self.codes[k]):
-                continue
-            if not hasattr(self, "_cache"):
-                self._cache = {}
-            if k not in self._cache:
-                self._cache[k] = self._contexts(k)
-            context, total, kinds = self._cache[k]
-            own = code % _SYMBOLS ** (k + 1)
-            at = np.minimum(np.searchsorted(self.codes[k], own), len(self.codes[k]) - 1)
-            seen = np.where(self.codes[k][at] == own, self.counts[k][at], 0)
-            c = np.minimum(np.searchsorted(context, own // _SYMBOLS), len(context) - 1)
-            known = context[c] == own // _SYMBOLS
-            p = np.where(known, (seen + kinds[c] * p) / (total[c] + kinds[c]), p)
-        return np.log(p)
-
-
-@dataclass
-class RatioModel:
-    accepted: Markov
-    rejected: Markov
-    threshold: float = 0.0
-
-    def difference(self, urls: pa.Array) -> np.ndarray:
-        """Length-normalised log-likelihood difference; empty: 0."""
-        code, size, owner = _windows(urls)
-        each = self.accepted.log_probability(code) - self.rejected.log_probability(code)
-        return np.bincount(owner, each, len(size)) / np.maximum(size, 1) if len(code) else np.zeros(len(size))
-
-
-def train(judged: DataFrame) -> RatioModel:
-    """Fit on all URLs (url, rule_verdict) that a rule judged."""
-    known = judged.where("rule_verdict is not null and url is not null")
-    schema = pa.schema([("side", pa.int32()), ("code", pa.int64()), ("n", pa.int64())])
+        window |= before << np.uint64(8 * k)
+    return window.view(np.int64), size
+
+
+_PLACES = pa.schema([("key", pa.int64()), ("side", pa.string()), ("n", pa.int64()), ("w", pa.int64())])
+
+
+def _places(urls: DataFrame) -> DataFrame:
+    """A row for each byte of each URL: key, side, n and the byte's window."""
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        side = (np.asarray(batch.column(1)) == "allow").astype(np.int64)
-        code, _, owner = _windows(batch.column(0))
-        width = _SYMBOLS ** (ORDER + 1)
-        kinds, n = np.unique(code + side[owner] * width, return_counts=True)
-        yield record(schema, (kinds // width).astype(np.int32), kinds % width, n)
-
-    grams = map_batches(known.select("url", "rule_verdict"), one, "side int, code long, n long").groupBy("side", "code").agg(F.sum("n").alias("n"))
-    # Bounded by the alphabet and the order, not by the number of URLs.
-    rows = grams.toArrow()
-    side, code, n = (rows[c].to_numpy() for c in ("side", "code", "n"))
-    model = RatioModel(*(Markov.of(code[side == s], n[side == s].astype(float)) for s in (1, 0)))
-    if not (side == 1).any() or not (side == 0).any():
-        return model
-    # Calibration: the threshold with the highest balanced accuracy, from histograms over all judged URLs.
-    bins = pa.schema([("side", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
-    shared = judged.sparkSession.sparkContext.broadcast(model)
-
-    def measure(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        side = (np.asarray(batch.column(1)) == "allow").astype(np.int64)
-        d = np.clip((shared.value.difference(batch.column(0)) / SPREAD + 1) / 2 * BINS, 0, BINS - 1).astype(np.int64)
-        kinds, n = np.unique(side * BINS + d, return_counts=True)
-        yield record(bins, (kinds // BINS).astype(np.int32), (kinds % BINS).astype(np.int32), n)
-
-    hist = map_batches(known.select("url", "rule_verdict"), measure, "side int, bin int, n long").groupBy("side", "bin").agg(F.sum("n").alias("n")).toArrow()
-    side, at, n = (hist[c].to_numpy() for c in ("side", "bin", "n"))
-    share = [np.bincount(at[side == s], n[side == s], BINS) / n[side == s].sum() for s in (0, 1)]
-    below = np.concatenate([[0], np.cumsum(share[0])]) - np.concatenate([[0], np.cumsum(share[1])])  # rejected minus accepted below an edge
-    top = np.flatnonzero(below >= below.max() - 1e-12)
-    model.threshold = (float(top[0] + top[-1]) / BINS - 1) * SPREAD
-    return model
-
-
-_OUT = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("score", pa.float64())])
+        window, size = byte_windows(batch.column(3))
+        owner = pa.array(np.repeat(np.arange(batch.num_rows), size))
+        yield record(_PLACES, *(batch.column(k).take(owner) for k in range(3)), window)
+
+    return map_batches(urls.select("key", "side", "n", "url"), one, "key long, side string, n long, w long")
+
+
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """(w, ratio) of all windows: log of the accepted over the rejected model's probability of a window's last byte.
+
+    counts: (w, a, b), how often accepted and rejected URLs have each window; a window with none is to be judged only.
+    """
+    shorter = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("w").bitwiseAND(F.lit(_MASKS[k])).alias("w")) for k in range(ORDER + 1)))).alias("g")
+    grams = counts.select(shorter, "a", "b").groupBy("g.k", "g.w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    grams = grams.select("k", "w", "a", "b", F.shiftrightunsigned("w", 8).alias("c"))
+    seen = [f for s in "ab" for f in (F.sum(s).alias(f"{s}_all"), F.sum((F.col(s) > 0).cast("long")).alias(f"{s}_kinds"))]
+    contexts = grams.groupBy("k", "c").agg(*seen)
+    rows = stage(grams.join(contexts, ["k", "c"]).sortWithinPartitions("k"), "url-grams")
+    known = None
+    for k in range(ORDER + 1):
+        own = rows.where(F.col("k") == k)
+        if known is None:
+            own = own.select("*", F.lit(1 / BYTES).alias("a_less"), F.lit(1 / BYTES).alias("b_less"))
+        else:
+            less = known.select(F.col("w").alias("s"), F.col("a_p").alias("a_less"), F.col("b_p").alias("b_less"))
+            own = own.withColumn("s", F.col("w").bitwiseAND(F.lit(_MASKS[k - 1]))).join(less, "s")
+        known = own.select("w", *(_blend(s).alias(f"{s}_p") for s in "ab"))
+    return known.select("w", F.log(F.col("a_p") / F.col("b_p")).alias("ratio"))
+
+
+def _blend(side: str) -> Column:
+    """Witten-Bell: the counts of a seen context, with the shorter window's probability for as many as it has different bytes."""
+    kinds, all_, less = F.col(f"{side}_kinds"), F.col(f"{side}_all"), F.col(f"{side}_less")
+    return F.when(all_ > 0, (F.col(side) + kinds * less) / (all_ + kinds)).otherwise(less)
+
+
+def threshold_of(scored: DataFrame) -> float:
+    """The threshold with the highest balanced accuracy on (rule_verdict, score), from a histogram; 0 without both verdicts."""
+    place = F.least(F.greatest(((F.col("score") / SPREAD + 1) / 2 * BINS).cast("int"), F.lit(0)), F.lit(BINS - 1))
+    # At most 2 * BINS rows reach the driver.
+    rows = scored.where("rule_verdict is not null").groupBy("rule_verdict", place.alias("bin")).count().collect()
+    share = {}
+    for verdict in ("allow", "block"):
+        total = sum(r["count"] for r in rows if r["rule_verdict"] == verdict)
+        if not total:
+            return 0.0
+        share[verdict] = [0.0] * BINS
+        for r in rows:
+            if r["rule_verdict"] == verdict:
+                share[verdict][r["bin"]] = r["count"] / total
+    below, edges = 0.0, [0.0]
+    for block, allow in zip(share["block"], share["allow"], strict=True):
+        below += block - allow
+        edges.append(below)
+    best = [k for k, x in enumerate(edges) if x >= max(edges) - 1e-12]
+    return ((best[0] + best[-1]) / BINS - 1) * SPREAD
+
+
+def score_urls(judged: DataFrame) -> tuple[DataFrame, float]:
+    """(url, score, n) of each distinct URL, and the threshold; judged: (url, rule_verdict).
+
+    The score is the length-normalised log-likelihood difference; it is 0 where rules have not given both verdicts.
+    """
+    calibrates = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
+    # A URL counts as often as it stands in the table; it is scored once.
+    urls = judged.where("url is not null and url <> ''").groupBy("url").agg(F.count("*").alias("n"), F.max("rule_verdict").alias("rule_verdict"))
+    side = F.when(calibrates, None).when(F.col("rule_verdict") == "allow", "a").when(F.col("rule_verdict") == "block", "b")
+    urls = stage(urls.select(F.monotonically_increasing_id().alias("key"), "url", "n", "rule_verdict", side.alias("side")), "url-distinct")
+    both = {r["side"] for r in urls.where("side is not null").select("side").distinct().collect()}
+    if both != {"a", "b"}:
+        return urls.select("url", F.lit(0.0).alias("score"), "n"), 0.0
+    places = _places(urls)
+    counts = places.groupBy("w").agg(*(F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(s) for s in "ab"), F.count("*").alias("n"))
+    counts = stage(counts, "url-windows")
+    named = log_ratios(counts.select("w", "a", "b")).join(counts.select("w", "n"), "w")
+    total = counts.agg(F.sum("n")).first()[0]
+    each = join_low(places.select("key", "w"), stage(named, "url-ratios"), "w", total)
+    scored = each.groupBy("key").agg((F.sum("ratio") / F.count("*")).alias("score")).join(urls.select("key", "url", "n", "rule_verdict"), "key")
+    scored = stage(scored, "url-scores")
+    return scored.select("url", "score", "n"), threshold_of(scored.where(calibrates))
 
 
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score of each URL.
 
     Defined results: a null URL or one without :// has empty host and path, fits no
-    rule and is scored as it stands (null: 0); without rule-judged URLs of both kinds
-    the threshold is 0; repeated rows are judged each.
+    rule and is scored as it stands (null and empty: 0); without learned URLs of both
+    verdicts every score and the threshold are 0 (allow); repeated rows are judged
+    each, and a URL counts as often as it stands in the table; an empty table gives no
+    rows; extra columns are ignored.
     """
     chosen = pages.select(F.col("page_id").cast("long").alias("page_id"), "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     judged = apply_rules(chosen, rules)
-    shared = pages.sparkSession.sparkContext.broadcast(train(judged))
-
-    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        score = model.difference(batch.column(1))
-        own = ["allow" if s >= model.threshold else "block" for s in score]
-        verdict = [r or o for r, o in zip(batch.column(5).to_pylist(), own, strict=True)]
-        yield record(_OUT, batch.column(0), batch.column(2), batch.column(3), batch.column(4), verdict, score)
-
-    return map_batches(judged.select("page_id", "url", "host", "path", "rule", "rule_verdict"), one, "page_id long, host string, path string, rule string, verdict string, score double")
+    scored, threshold = score_urls(judged.select("url", "rule_verdict"))
+    known = judged.where("url is not null and url <> ''")
+    rest = judged.where("url is null or url = ''").withColumn("score", F.lit(0.0))
+    rows = join_low(known, scored, "url", pages.count()).select(*judged.columns, "score").unionByName(rest.select(*judged.columns, "score"))
+    own = F.when(F.col("score") >= F.lit(threshold), "allow").otherwise("block")
+    return rows.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "score")
