@@ -13,12 +13,13 @@ from __future__ import annotations
 import os
 import unicodedata
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-from docloom.llm.textcore import encode_spans, segment_sum
+from docloom.llm.textcore import between_plain_words, encode_spans, segment_sum, slices
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNSURE = range(5)
@@ -185,6 +186,22 @@ class ColumnBpe:
         return ids, counts
 
 
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, end row, ids, ids per text) of a column; a long text is encoded in parts, cut between plain words, and comes whole."""
+        held: list[np.ndarray] = []
+        seen = 0
+        for i, j, chunk, at in slices(data, offsets, cut=between_plain_words):
+            ids, counts = self.encode(chunk, at)
+            if j - i == 1 and len(chunk) < offsets[j] - offsets[i]:
+                held.append(ids)
+                seen += len(chunk)
+                if seen < offsets[j] - offsets[i]:
+                    continue
+                ids = np.concatenate(held)
+                counts, held, seen = np.array([len(ids)]), [], 0
+            yield i, j, ids, counts
+
+
 _LOADED: dict[str, ColumnBpe] = {}
 
 

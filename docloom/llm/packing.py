@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import bpe
 from docloom.llm.plumbing import prepare, record, stage
-from docloom.llm.textcore import buffers, slices
+from docloom.llm.textcore import buffers
 
 CAPACITY = 2048
 END_ID = 0
@@ -181,8 +181,8 @@ def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
         coder, part, seen = bpe.column_bpe(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            for i, j, chunk, at in slices(data, offsets):
-                ids, counts = bpe.with_end(*coder.encode(chunk, at), end_id)
+            for i, j, ids, counts in coder.texts(data, offsets):
+                ids, counts = bpe.with_end(ids, counts, end_id)
                 many = -(-counts // capacity)
                 owner = np.repeat(np.arange(len(counts)), many)
                 piece = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import bpe
 from docloom.llm.plumbing import map_batches, prepare, record, stage
-from docloom.llm.textcore import buffers, slices
+from docloom.llm.textcore import buffers
 
 MAGIC = b"DLPFOR1\0"
 BLOCK = 1024
@@ -139,21 +139,23 @@ _READ = pa.schema([("part", pa.int64()), ("segment", pa.int64()), ("place", pa.i
 
 
 def token_segments(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """Segments (part, segment, content) of all documents in ascending doc_id order (null ids first, equal ids by text)."""
+    """Segments (part, segment, content) of all documents in ascending doc_id order (null ids first, equal ids by a hash of the text)."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, segment = bpe.column_bpe(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            for i, j, chunk, at in slices(data, offsets):
-                ids, counts = bpe.with_end(*coder.encode(chunk, at), end_id)
+            for i, j, ids, counts in coder.texts(*buffers(batch.column(1))):
+                ids, counts = bpe.with_end(ids, counts, end_id)
                 content = write_segment(ids, counts, batch.column(0).slice(i, j - i))
                 yield record(_SEGMENTS, [part], [segment], [content])
                 segment += 1
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "part long, segment long, content binary")
+    text = F.coalesce("text", F.lit(""))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
+    # The hash and the row part many rows of one id, or without, into several ranges.
+    order = ("doc_id", "h", "row")
+    return ordered.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, "part long, segment long, content binary")
 
 
 def read_segments(segments: DataFrame) -> DataFrame:
@@ -170,8 +172,9 @@ def read_segments(segments: DataFrame) -> DataFrame:
     rows = map_batches(segments, one, "part long, segment long, place long, doc_id long, n_tokens long, ids_crc32 long")
     own = Window.partitionBy("part").orderBy("segment", "place").rowsBetween(Window.unboundedPreceding, -1)
     rows = stage(rows, "token-rows")
-    parts = rows.groupBy("part").agg(F.min_by("doc_id", F.struct("segment", "place")).alias("first"), F.sum("n_tokens").alias("ids"))
-    before = F.sum("ids").over(Window.orderBy(F.col("first").asc_nulls_first(), "part").rowsBetween(Window.unboundedPreceding, -1))
+    # Ranges are numbered in order; one row a range.
+    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
+    before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = parts.select("part", F.coalesce(before, F.lit(0)).alias("base"))
     return (
         rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)))
