@@ -27,7 +27,7 @@ def local_components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 #: Keys with more rows than this share of the table are joined by broadcast: there are at most HOT_KEYS of them.
 HOT_KEYS = 50_000
-COLD_ROWS = 1000
+COLD_ROWS = 64
 
 
 def join_low(rows: DataFrame, low: DataFrame, key: str, total: int) -> DataFrame:
