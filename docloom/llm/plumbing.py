@@ -137,17 +137,26 @@ def hash_edge(rows: int, many: int) -> int:
     return min(2**63 - 1, (2 * rows + 100) * 2**63 // max(1, many))
 
 
+def sample_hash(df: DataFrame, rows: int, key: Column, salt: str) -> tuple[Column, int]:
+    """(a hash of ``key``, its largest value in the sample): at most ``rows`` different hashes lie up to it; -1: no rows.
+
+    About twice the hashes pass a first threshold; only they, each once, are sorted.
+    """
+    rank = F.shiftrightunsigned(F.xxhash64(key, F.lit(salt)), 1)
+    many = df.agg(F.approx_count_distinct(rank, 0.02).alias("n")).first()["n"]
+    near = df.select(rank.alias("h")).where(F.col("h") <= hash_edge(rows, many)).distinct()
+    last = near.orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return rank, -1 if last is None else last
+
+
 def hashed_sample(df: DataFrame, rows: int, key: Column, salt: str = "train") -> DataFrame:
     """At most ``rows`` rows, those with the smallest salted hashes of ``key``: independent of row order.
 
-    Rows that are equal in ``key`` count once and give one row, so ``key`` should hold all that is used. About
-    twice the rows pass a first threshold; only they are sorted.
+    Rows that are equal in ``key`` count once and give one row, so ``key`` should hold all that is used.
     """
     name = "h" + "_" * max(map(len, df.columns))
-    rank = F.shiftrightunsigned(F.xxhash64(key, F.lit(salt)), 1)
-    many = df.agg(F.approx_count_distinct(rank, 0.02).alias("n")).first()["n"]
-    edge = hash_edge(rows, many)
-    return df.withColumn(name, rank).where(F.col(name) <= F.lit(edge)).dropDuplicates([name]).orderBy(name).limit(rows).drop(name)
+    rank, last = sample_hash(df, rows, key, salt)
+    return df.withColumn(name, rank).where(F.col(name) <= F.lit(last)).dropDuplicates([name]).drop(name)
 
 
 def filter_batches(docs: DataFrame, column: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:

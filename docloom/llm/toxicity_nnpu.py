@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from docloom.llm.langid_crf import words_of
-from docloom.llm.plumbing import filter_batches, fit_in_task, hashed_sample, id_crc, map_batches, record
+from docloom.llm.plumbing import filter_batches, fit_in_task, hashed_sample, id_crc, map_batches, record, sample_hash
 from docloom.llm.textcore import between_words, buffers, segment_sum, slices
 
 #: Bounds of the training sample.
@@ -153,15 +153,15 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     texts = docs.where(F.col("text").isNotNull() & (id_crc() % 5 != 0)).select("doc_id", "text")
     # At most `positives` ids are sent.
     ids = hashed_sample(learned.where("toxic = 1").select("doc_id").distinct(), positives, F.col("doc_id"), "toxic")
-    schema = pa.schema([("toxic", pa.bool_()), ("words", pa.list_(pa.int64()))])
+    schema = pa.schema([("toxic", pa.bool_()), ("h", pa.int64()), ("words", pa.list_(pa.int64()))])
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
-        for i, j, chunk, at in slices(*buffers(batch.column(1)), cut=between_words):
+        for i, j, chunk, at in slices(*buffers(batch.column(2)), cut=between_words):
             words, bounds = word_sets(chunk, at)
             for k in range(i, j):
                 sets[k].append(words[bounds[k - i] : bounds[k - i + 1]])
-        yield record(schema, batch.column(0), [np.unique(np.concatenate(s)) for s in sets])
+        yield record(schema, batch.column(0), batch.column(1), [np.unique(np.concatenate(s)) for s in sets])
 
     def fit_sample(rows: pa.Table) -> Classifier:
         toxic = np.asarray(rows["toxic"].combine_chunks().to_numpy(zero_copy_only=False), bool)
@@ -170,10 +170,14 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         key = lambda x: (len(x), x.tobytes())
         return fit(*(sorted((np.asarray(x, np.int64) for x, y in zip(sets, toxic, strict=True) if y == side), key=key) for side in (True, False)), prior)
 
-    toxic = hashed_sample(texts.join(F.broadcast(ids), "doc_id", "left_semi"), positives, F.struct("doc_id", "text"), "toxic")
-    other = hashed_sample(texts, unlabelled, F.struct("doc_id", "text"), "unlabelled")
-    both = toxic.select(F.lit(True).alias("toxic"), "text").unionByName(other.select(F.lit(False).alias("toxic"), "text"))
-    return fit_in_task(map_batches(both, one, "toxic boolean, words array<long>"), fit_sample)
+    def chosen(rows: DataFrame, toxic: bool, many: int, salt: str) -> DataFrame:
+        rank, last = sample_hash(rows, many, F.struct("doc_id", "text"), salt)
+        return rows.select(F.lit(toxic).alias("toxic"), rank.alias("h"), "text").where(F.col("h") <= F.lit(last))
+
+    both = chosen(texts.join(F.broadcast(ids), "doc_id", "left_semi"), True, positives, "toxic").unionByName(chosen(texts, False, unlabelled, "unlabelled"))
+    # Words are gathered where the rows are read; of copies one row goes on.
+    sets = map_batches(both, one, "toxic boolean, h long, words array<long>").groupBy("toxic", "h").agg(F.first("words").alias("words"))
+    return fit_in_task(sets.select("toxic", "words"), fit_sample)
 
 
 def judge(model: Classifier, texts: pa.Array) -> np.ndarray:
