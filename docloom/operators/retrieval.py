@@ -1,12 +1,15 @@
 """Ranked retrieval: exact dense search, BM25, reciprocal-rank fusion, context budgets.
 
-Scores are column expressions; a search is one scan with a bounded top-k per task and
-no shuffle of the corpus. Batches of queries are scored in blocks of a matrix product.
+Each leg works on its own narrow table: the dense leg on ids and vectors, the lexical
+leg on counts of words. Texts are tokenised once, by a vectorised Arrow pass, and read
+again only for the k rows that are shown. An index keeps the counts by term for many
+queries. Batches of queries are scored in blocks of a matrix product.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -15,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import columns as C
-from docloom.runtime import stage
+from docloom.functions.words import term_counts
+from docloom.runtime import file_version, fresh_path, spread, stage
 
 K1, B, RRF_K, POOL_FACTOR, POOL_LEAST = 1.5, 0.75, 60, 5, 50
 #: Most values of a query matrix that is sent to every executor.
@@ -25,10 +29,38 @@ BATCH_BLOCK, SCORE_BLOCK = 16_384, 2048
 CONTEXT_HITS, CONTEXT_CHARS = 8, 12_000
 
 
+@dataclass
+class Corpus:
+    """What a search reads: rows (id, seq and whatever is shown), vectors (id, embedding, filter columns), and a lexical index if there is one."""
+
+    rows: DataFrame
+    vectors: DataFrame
+    index: LexicalIndex | None = None
+
+    @property
+    def columns(self) -> list[str]:
+        return self.rows.columns
+
+
 def vectors(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """The search corpus: every document, with its vector where it has one."""
+    """Documents with their vectors as one table."""
     held = embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
-    return docs.join(held, "doc_id", "left").withColumns({"id": F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), "seq": F.col("doc_id")})
+    return docs.join(held, "doc_id", "left").withColumns(_ids("doc_id"))
+
+
+def _ids(key: str) -> dict[str, Column]:
+    return {"id": F.concat(F.lit("doc-"), F.col(key).cast("string")), "seq": F.col(key)}
+
+
+def corpus_of(docs: DataFrame, embeddings: DataFrame, indexed: bool = True) -> Corpus:
+    """The search corpus of two tables, which are never joined but on ids; its index is kept for as long as the files stay as they are."""
+    rows = docs.withColumns(_ids("doc_id"))
+    held = embeddings.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").select(_ids("vec_id")["id"].alias("id"), "embedding")
+    return Corpus(rows, held, index_of(rows, file_version(docs)) if indexed else None)
+
+
+def _corpus(source: DataFrame | Corpus) -> Corpus:
+    return source if isinstance(source, Corpus) else Corpus(source, source)
 
 
 def block_scores(rows: pa.Array, queries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +101,7 @@ def dense_search(corpus: DataFrame, query: list[float], k: int, min_score: float
     rows = corpus.where(F.col("embedding").isNotNull())
     if filters:
         rows = rows.where(C.matches({c: F.col(c) for c in corpus.columns if c != "metadata"}, F.col("metadata") if "metadata" in corpus.columns else None, filters))
-    scored = rows.withColumn("score", query_score(F.col("embedding"), query)).where(F.col("score") >= min_score)
+    scored = rows.drop("score", "rank").withColumn("score", query_score(F.col("embedding"), query)).where(F.col("score") >= min_score)
     return top(scored, k, F.desc("score"), F.asc("id"))
 
 
@@ -155,30 +187,144 @@ def query_terms(text: str) -> list[str]:
     return sorted(set(re.findall("[a-z0-9_]+", text.lower())))
 
 
-def _occurrences(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
+_COUNTED = "id {id}, seq {seq}, words long, counts array<long>"
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
-def bm25_search(docs: DataFrame, query: str, k: int) -> DataFrame:
-    """(docs columns, score, rank) of documents with a query term; ties by seq.
+def bm25_counts(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, seq, words, counts): each text's words and how often it has each term, by one vectorised pass; id null: sums of a batch's other texts.
 
-    One pass gives each document's length and its counts of the query's terms; the
-    corpus statistics are one row, joined by broadcast. No postings are shuffled.
+    Texts without a term give no row of their own; their number, words and no more are in the sums (counts[0] is their number).
     """
-    terms = query_terms(query)
-    if not terms or k <= 0:
-        return docs.limit(0).withColumns({"score": F.lit(0.0), "rank": F.lit(0)})
-    words = docs.withColumn("__words", C.tokens(F.coalesce("text", F.lit(""))))
-    counted = words.withColumns({"__dl": F.size("__words")} | {f"__tf{i}": _occurrences("__words", t) for i, t in enumerate(terms)}).drop("__words")
-    stats = counted.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *(F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))))
-    parts = []
-    for i in range(len(terms)):
-        tf, df = F.col(f"__tf{i}"), F.col(f"__df{i}")
-        idf = F.ln((F.col("__n") - df + 0.5) / (df + 0.5) + 1)
-        parts.append(F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__dl") / F.col("__avg")))).otherwise(0.0))
-    hit = reduce(lambda a, b: a | b, (F.col(f"__tf{i}") > 0 for i in range(len(terms))))
-    scored = counted.where(hit).crossJoin(F.broadcast(stats)).withColumn("score", reduce(lambda a, b: a + b, parts))
-    return top(scored.select(*docs.columns, "score"), k, F.desc("score"), F.asc("seq"))
+    schema = _COUNTED.format(id=_kind(rows, "id"), seq=_kind(rows, "seq"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, row, code, known, count = term_counts(batch.column(2))
+            place = {t: i for i, t in enumerate(terms)}
+            to = np.array([place.get(w, -1) for w in known] or [-1], np.int64)[code if len(code) else []]
+            found = np.zeros((batch.num_rows, len(terms)), np.int64)
+            found[row[to >= 0], to[to >= 0]] = count[to >= 0]
+            hit = np.flatnonzero(found.any(axis=1))
+            rest = np.zeros((1, len(terms)), np.int64)
+            rest[0, 0] = batch.num_rows - len(hit)
+            counts = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([found[hit], rest]).ravel()), len(terms)).cast(pa.list_(pa.int64()))
+            keys = [pa.concat_arrays([c.take(pa.array(hit)), pa.nulls(1, c.type)]) for c in batch.columns[:2]]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.append(words[hit], words.sum() - words[hit].sum())), counts], names=["id", "seq", "words", "counts"])
+
+    return rows.select("id", "seq", "text").mapInArrow(run, schema)
+
+
+def _term_score(tf: Column, df: Column, n: Column, words: Column, mean: Column) -> Column:
+    return F.ln((n - df + 0.5) / (df + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words / mean))
+
+
+def bm25_legs(source: DataFrame | Corpus, query: str) -> DataFrame:
+    """(id, seq, score) of all rows with a query term."""
+    corpus, terms = _corpus(source), query_terms(query)
+    if corpus.index:
+        return corpus.index.scores(terms)
+    counted = stage(bm25_counts(spread(corpus.rows.select("id", "seq", "text")), terms), "bm25-counts")
+    n, many = F.when(F.col("id").isNull(), F.col("counts")[0]).otherwise(1), range(len(terms))
+    stats = counted.agg(F.sum(n).alias("__n"), F.sum("words").alias("__words"), *(F.count_if(F.col("id").isNotNull() & (F.col("counts")[i] > 0)).alias(f"__df{i}") for i in many))
+    mean = F.col("__words") / F.col("__n")
+    score = reduce(lambda a, b: a + b, (F.when(F.col("counts")[i] > 0, _term_score(F.col("counts")[i], F.col(f"__df{i}"), F.col("__n"), F.col("words"), mean)).otherwise(0.0) for i in many))
+    return counted.where("id is not null").crossJoin(F.broadcast(stats)).select("id", "seq", score.alias("score"))
+
+
+def bm25_search(source: DataFrame | Corpus, query: str, k: int) -> DataFrame:
+    """(rows' columns, score, rank) of documents with a query term; ties by seq."""
+    corpus = _corpus(source)
+    if not query_terms(query) or k <= 0:
+        return corpus.rows.limit(0).withColumns({"score": F.lit(0.0), "rank": F.lit(0)})
+    return shown(corpus.rows, top(bm25_legs(corpus, query), k, F.desc("score"), F.asc("seq")).select("id", "seq", "score", "rank"))
+
+
+#: Most ids that are looked up as literals, so that the scan can skip what it does not need.
+FETCH = 1000
+
+
+def shown(rows: DataFrame, best: DataFrame) -> DataFrame:
+    """rows' columns of the best (id, …) few, with the other columns of ``best``; what rows already has under these names is replaced.
+
+    A small result is looked up by its keys in the scan; texts of other rows are not read where the file can skip them.
+    """
+    extra = [c for c in best.columns if c not in ("id", "seq")]
+    few = best.limit(FETCH + 1).collect()
+    if len(few) > FETCH:
+        return rows.drop(*extra).join(best.drop("seq"), "id")
+    kept = rows.drop(*extra)
+    if few and "seq" in best.columns:
+        kept = kept.where(F.col("seq").isin(sorted({r["seq"] for r in few})))
+    kept = kept.where(F.col("id").isin(sorted({r["id"] for r in few}))) if few else kept.limit(0)
+    found = rows.sparkSession.createDataFrame([tuple(r) for r in few], best.schema).drop("seq")
+    return kept.join(F.broadcast(found), "id")
+
+
+@dataclass
+class LexicalIndex:
+    """Postings (term, id, seq, words, tf) sorted by term: a search reads the row groups of its terms. The term '' names every document."""
+
+    postings: DataFrame
+    documents: int
+    words: int
+
+    def scores(self, terms: list[str]) -> DataFrame:
+        """(id, seq, score) of all documents with a term."""
+        found = self.postings.where(F.col("term").isin(terms))
+        # One row a term is sent.
+        df = found.groupBy("term").agg(F.count("*").alias("df"))
+        part = _term_score(F.col("tf"), F.col("df"), F.lit(self.documents), F.col("words"), F.lit(self.words / max(1, self.documents)))
+        return found.join(F.broadcast(df), "term").groupBy("id", "seq").agg(F.sum(part).alias("score"))
+
+
+def build_index(rows: DataFrame, path: str | None = None) -> LexicalIndex:
+    """Tokenise rows (id, seq, text) once and write the postings, in ranges of (term, id): a term of every document is many tasks' work."""
+    schema = f"term string, id {_kind(rows, 'id')}, seq {_kind(rows, 'seq')}, words long, tf long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, row, code, known, count = term_counts(batch.column(2))
+            every = np.concatenate([np.arange(batch.num_rows), row])
+            term = pa.array(["", *known]).take(pa.array(np.concatenate([np.zeros(batch.num_rows, np.int64), code + 1])))
+            keys = [c.take(pa.array(every)) for c in batch.columns[:2]]
+            yield pa.RecordBatch.from_arrays([term, *keys, pa.array(words[every]), pa.array(np.concatenate([np.zeros(batch.num_rows, np.int64), count]))], names=["term", "id", "seq", "words", "tf"])
+
+    made = spread(rows.select("id", "seq", "text")).mapInArrow(run, schema)
+    path = path or fresh_path(rows.sparkSession, "lexical-index")
+    made.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
+    return open_index(rows.sparkSession, path, schema)
+
+
+def open_index(spark: SparkSession, path: str, schema: str | None = None) -> LexicalIndex:
+    """An index as it was written under a path."""
+    postings = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    total = postings.where("term = ''").agg(F.count("*").alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+    return LexicalIndex(postings, total["n"], total["words"])
+
+
+_INDEXES: dict[tuple[str, str], LexicalIndex] = {}
+#: Indexes of this many versions are remembered by a session.
+KEPT_INDEXES = 8
+
+
+def index_of(rows: DataFrame, version: str | None) -> LexicalIndex | None:
+    """The index of a version of the corpus, built when it is first asked for; another version has another index."""
+    if version is None:
+        return None
+    key = (rows.sparkSession.sparkContext.applicationId, version)
+    if key not in _INDEXES:
+        while len(_INDEXES) >= KEPT_INDEXES:
+            _INDEXES.pop(next(iter(_INDEXES)))
+        _INDEXES[key] = build_index(rows)
+    return _INDEXES[key]
 
 
 def bm25_postings(docs: DataFrame, id_: str = "doc_id") -> DataFrame:
@@ -197,23 +343,30 @@ def rrf(legs: list[DataFrame], k: int = RRF_K) -> DataFrame:
     return union.groupBy("id").agg(F.sum("part").alias("rrf"))
 
 
-def hybrid_search(corpus: DataFrame, query: str, vector: list[float] | None, k: int = 10, min_score: float = 0.0, post_filter: Column | None = None) -> DataFrame:
-    """(corpus columns, rrf, rank): dense and BM25 legs of max(5k, 50) candidates, fused; the post filter comes after the cut."""
+def hybrid_search(source: DataFrame | Corpus, query: str, vector: list[float] | None, k: int = 10, min_score: float = 0.0, post_filter: Column | None = None) -> DataFrame:
+    """(rows' columns, rrf, rank): dense and BM25 legs of max(5k, 50) candidates, fused; the post filter comes after the cut."""
+    corpus = _corpus(source)
     if k <= 0 or (not query.strip() and not vector):
-        return corpus.limit(0).withColumns({"rrf": F.lit(0.0), "rank": F.lit(0)})
+        return corpus.rows.limit(0).withColumns({"rrf": F.lit(0.0), "rank": F.lit(0)})
     pool = max(POOL_FACTOR * k, POOL_LEAST)
-    legs = [dense_search(corpus, vector, pool)] if vector else []
-    legs += [bm25_search(corpus, query, pool)] if query.strip() else []
+    legs = []
+    if vector:
+        scored = corpus.vectors.where(F.col("embedding").isNotNull()).select("id", query_score(F.col("embedding"), vector).alias("score"))
+        legs.append(top(scored.where(F.col("score") >= 0), pool, F.desc("score"), F.asc("id")))
+    if query_terms(query):
+        legs.append(top(bm25_legs(corpus, query), pool, F.desc("score"), F.asc("seq")))
+    if not legs:
+        return corpus.rows.limit(0).withColumns({"rrf": F.lit(0.0), "rank": F.lit(0)})
     fused = top(rrf(legs).where(F.col("rrf") >= min_score), k, F.desc("rrf"), F.asc("id"))
-    # k rows at most
-    hits = corpus.join(F.broadcast(fused), "id")
+    hits = shown(corpus.rows, fused)
     return hits.where(post_filter) if post_filter is not None else hits
 
 
-def service_search(corpus: DataFrame, query: str, embed, k: int = 10, min_score: float = 0.0, filters: dict | None = None) -> DataFrame:
+def service_search(source: DataFrame | Corpus, query: str, embed, k: int = 10, min_score: float = 0.0, filters: dict | None = None) -> DataFrame:
     """The search facade: a blank query finds nothing, a failing embedder leaves the lexical leg."""
+    corpus = _corpus(source)
     if not query.strip():
-        return corpus.limit(0).withColumns({"rrf": F.lit(0.0), "rank": F.lit(0)})
+        return corpus.rows.limit(0).withColumns({"rrf": F.lit(0.0), "rank": F.lit(0)})
     try:
         vector = embed(query) if embed else None
     except Exception:

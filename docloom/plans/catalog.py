@@ -15,7 +15,7 @@ from docloom.operators import retrieval as R
 from docloom.operators import state as S
 from docloom.operators import tables as T
 from docloom.operators import text as X
-from docloom.runtime import fresh_path, importable, table
+from docloom.runtime import fresh_path, importable, spread, table
 from docloom.sources.files import classify
 from docloom.streaming import watch as W
 
@@ -74,8 +74,8 @@ def _bm25_sql(text: str, pool: int) -> str:
 _TOKS = "toks as (select id, seq, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') as w, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) as dl from corpus)"
 
 
-def _corpus(t) -> DataFrame:
-    return R.vectors(t("documents"), t("embeddings"))
+def _corpus(t) -> R.Corpus:
+    return R.corpus_of(t("documents"), t("embeddings"))
 
 
 def _vector(t, at: int = 0) -> list[float]:
@@ -272,18 +272,18 @@ _LANGUAGE = f"""words as (select doc_id, lang, regexp_extract_all(lower(substr(c
 
 @query(f"with {_LANGUAGE} select doc_id, language, round(confidence, 6) as confidence from found")
 def language_detect(t):
-    return t("documents").select("doc_id", C.language(F.col("text")).alias("l")).select("doc_id", "l.language", r6(F.col("l.confidence")).alias("confidence"))
+    return spread(t("documents").select("doc_id", "text")).select("doc_id", C.language(F.col("text")).alias("l")).select("doc_id", "l.language", r6(F.col("l.confidence")).alias("confidence"))
 
 
 @query(f"with {_LANGUAGE} select language, lang, count(*) as documents from found group by language, lang")
 def language_confusion(t):
-    found = t("documents").select("lang", C.language(F.col("text"))["language"].alias("language"))
+    found = spread(t("documents").select("lang", "text")).select("lang", C.language(F.col("text"))["language"].alias("language"))
     return found.groupBy("language", "lang").agg(F.count("*").alias("documents"))
 
 
 @query(r"select page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as text from pages")
 def html_strip(t):
-    return t("pages").select("page_id", C.strip_html(F.col("html")).alias("text"))
+    return spread(t("pages").select("page_id", "html")).select("page_id", C.strip_html(F.col("html")).alias("text"))
 
 
 @query(r"select page_id, regexp_extract(url, '^([a-z]+)://', 1) as scheme, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) as host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) as path from pages")
@@ -332,19 +332,19 @@ def tag_normalize(t):
 @query()
 def sentences_count(t):
     s = X.sentences(F.col("text"))
-    return t("documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s").alias("sentences"), F.aggregate("s", F.lit(0), lambda n, x: n + F.char_length(x)).alias("chars"))
+    return spread(t("documents").select("doc_id", "text")).select("doc_id", s.alias("s")).select("doc_id", F.size("s").alias("sentences"), F.aggregate("s", F.lit(0), lambda n, x: n + F.char_length(x)).alias("chars"))
 
 
 @query()
 def chunks(t):
-    return X.chunks(t("documents"), "doc_id").withColumn("metadata", F.to_json("metadata"))
+    return X.chunks(spread(t("documents")), "doc_id").withColumn("metadata", F.to_json("metadata"))
 
 
 @query()
 def chunk_overlap(t):
     from pyspark.sql import Window
 
-    made = X.chunks(t("documents"), "doc_id")
+    made = X.chunks(spread(t("documents")), "doc_id")
     previous = F.lag("chunk_index").over(Window.partitionBy("source").orderBy("chunk_index"))
     return made.select("chunk_id", F.char_length("text").alias("chars"), (F.col("end_char") - F.col("start_char")).alias("span"), previous.alias("previous"))
 
@@ -383,12 +383,12 @@ def blocks(t):
 
 @query()
 def entity_mentions(t):
-    return X.mentions(t("documents"), "doc_id")
+    return X.mentions(spread(t("documents")), "doc_id")
 
 
 @query()
 def entities(t):
-    return X.entity_table(X.mentions(t("documents"), "doc_id")).select("source", "entity_id", "label", "entity_type", "n_mentions")
+    return X.entity_table(X.mentions(spread(t("documents")), "doc_id")).select("source", "entity_id", "label", "entity_type", "n_mentions")
 
 
 def _order_mentions(t) -> DataFrame:

@@ -8,16 +8,20 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; on one machine a folder of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="docloom-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -45,3 +49,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores where the input has fewer splits than cores, as a small file of one row group has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def file_version(df: DataFrame) -> str | None:
+    """A name for what a plain file scan reads: paths, sizes and times of its files; None for other tables."""
+    try:
+        files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        return str(files.agg(F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()[0])
+    except AnalysisException:
+        return None
