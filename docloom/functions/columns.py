@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 from docloom.functions.tables import (
     CONFIDENCE_BY_KIND,
     DEFAULT_CONFIDENCE,
+    DEFAULT_LANGUAGE,
     DEFAULT_PROCESSOR,
     KIND_BY_EXTENSION,
     KIND_BY_SOURCE_TYPE,
+    LANGUAGE_BY_EXTENSION,
     PROCESSOR_BY_KIND,
+    READER_BY_EXTENSION,
+    READER_BY_NAME,
     STOP_WORDS,
 )
 from docloom.functions.words import stop_word_hits
@@ -84,6 +88,22 @@ def kind(ext: Column, source_type: Column) -> Column:
     return F.coalesce(by_type, _lookup(KIND_BY_EXTENSION, ext), _lookup(KIND_BY_SOURCE_TYPE, source_type), F.lit("unknown"))
 
 
+def reader(filename: Column, source_type: Column) -> Column:
+    """Which reader a file goes to: by its name, by its extension, else by its kind."""
+    name, ext = F.element_at(F.split(filename, "[/\\\\]"), -1), extension(filename)
+    return F.coalesce(_lookup(READER_BY_NAME, name), _lookup(READER_BY_EXTENSION, ext), kind(ext, source_type))
+
+
+def code_language(filename: Column) -> Column:
+    """Programming language by a file's extension; generic for any other."""
+    return F.coalesce(_lookup(LANGUAGE_BY_EXTENSION, extension(filename)), F.lit(DEFAULT_LANGUAGE))
+
+
+def heading_level(level: Column) -> Column:
+    """A heading level inside 1 to 6."""
+    return F.least(F.greatest(level, F.lit(1)), F.lit(6))
+
+
 def kind_confidence(kind_: Column) -> Column:
     return F.coalesce(_lookup(CONFIDENCE_BY_KIND, kind_), F.lit(DEFAULT_CONFIDENCE))
 

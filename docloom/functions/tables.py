@@ -42,6 +42,21 @@ EXTENSIONS: dict[str, str] = {
 }
 KIND_BY_EXTENSION = {ext: kind for kind, exts in EXTENSIONS.items() for ext in exts.split()}
 KIND_BY_SOURCE_TYPE = {k: k for k in "markdown text pdf csv spreadsheet notebook docx pptx code config image audio video archive email database research diagram".split()}
+#: Extensions and names whose reader is not that of their kind, or that have no kind.
+READER_BY_EXTENSION: dict[str, str] = {
+    **dict.fromkeys(".txt .log .tex .rtf .json .xml .html .htm .rss .editorconfig".split(), "text"),
+    **dict.fromkeys(".toml .ini .cfg .conf .yaml .yml .env".split(), "config"),
+    **dict.fromkeys(".mmd".split(), "code"),
+}
+READER_BY_NAME = {".gitignore": "code", ".dockerignore": "code", ".editorconfig": "text", ".env": "config"}
+#: Languages by code extension.
+LANGUAGE_BY_EXTENSION: dict[str, str] = {
+    ".py": "python", ".js": "javascript", ".ts": "typescript", ".jsx": "javascript", ".tsx": "typescript", ".java": "java", ".c": "c", ".cpp": "c++", ".cs": "c#", ".go": "go",
+    ".rb": "ruby", ".rs": "rust", ".php": "php", ".sh": "shell", ".bash": "shell", ".kt": "kotlin", ".swift": "swift", ".dart": "dart", ".scala": "scala", ".r": "r",
+    ".m": "objective-c", ".ps1": "powershell", ".sql": "sql", ".css": "css", ".scss": "scss", ".less": "less", ".vue": "vue", ".svelte": "svelte",
+}
+DEFAULT_LANGUAGE = "generic"
+
 #: Kinds that the watcher's worker processes.
 PROCESSABLE_KINDS = ("code", "image", "audio", "video")
 PROCESSABLE_EXTENSIONS = frozenset(".md .txt .pdf .csv .xlsx".split()) | {e for e, k in KIND_BY_EXTENSION.items() if k in PROCESSABLE_KINDS}

@@ -64,6 +64,13 @@ def index_lines(notes: DataFrame) -> DataFrame:
     return notes.select(stem.alias("stem"), F.concat(F.lit("- [["), stem, F.lit("|"), F.col("title"), F.lit("]]")).alias("line"), F.lower(stem).alias("sort_key"))
 
 
+def log_line(at: Column) -> Column:
+    """The log entry of a note (title, filename, source, created) that was written at a time."""
+    stem = F.regexp_replace("filename", r"\.md$", "")
+    done = F.when(F.col("created"), "created").otherwise("updated")
+    return F.concat(F.lit("- "), at, F.lit(" - "), done, F.lit(" [["), stem, F.lit("|"), F.col("title"), F.lit("]] from "), F.col("source").cast("string"), F.lit("\n"))
+
+
 def overview(notes: DataFrame) -> DataFrame:
     """One row: notes, distinct sources, and the last ten stems of the index order."""
     totals = notes.agg(F.count("*").alias("notes"), F.countDistinct("source").alias("sources"))

@@ -8,6 +8,7 @@ file never fails a task.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import columns as C
-from docloom.functions.tables import KIND_BY_EXTENSION
+from docloom.functions.tables import KIND_BY_EXTENSION, READER_BY_EXTENSION
+from docloom.operators.registry import after_ingest, before_ingest
+from docloom.runtime import stage
 from docloom.sources.formats import READERS, Unreadable
 
 MAX_BYTES = 50 << 20
@@ -35,7 +38,7 @@ def filename(path: Column) -> Column:
 def watchable(path: Column) -> Column:
     """Supported, not hidden in any path part, not a temporary name."""
     name = filename(path)
-    known = C.extension(name).isin(*KIND_BY_EXTENSION)
+    known = C.extension(name).isin(*sorted({*KIND_BY_EXTENSION, *READER_BY_EXTENSION}))
     return known & ~path.rlike(r"/\.[^/]") & ~name.rlike(r"(^~|~$|\.tmp$)")
 
 
@@ -59,6 +62,19 @@ def classify(docs: DataFrame) -> DataFrame:
     )
 
 
+def unique_names(names: list[str]) -> list[str]:
+    """Each name once: a later equal one gets the first free number before its suffix."""
+    taken: dict[str, None] = {}
+    for name in names:
+        stem, suffix = os.path.splitext(name)
+        free, n = name, 0
+        while free in taken:
+            n += 1
+            free = f"{stem}-{n}{suffix}"
+        taken[free] = None
+    return list(taken)
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for files in batches:
         rows = []
@@ -72,7 +88,8 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if kind not in READERS:
                     raise Unreadable(f"no reader for {f.filename}")
                 text, title, found = READERS[kind](bytes(f.content), f.filename)
-                attachments = [{"filename": n, "content": c} for n, c in found.pop("attachments", [])]
+                parts = found.pop("attachments", [])
+                attachments = [{"filename": n, "content": c} for n, (_, c) in zip(unique_names([n for n, _ in parts]), parts, strict=True)]
                 kind = "scanned_pdf" if kind == "pdf" and not text else kind
                 extra = json.dumps(found, sort_keys=True, default=str)
             except Unreadable as error:
@@ -87,7 +104,7 @@ def parse(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Parsed rows of scanned files; `reason` is set where a file is set aside. Content above the limit is never sent to Python."""
     name = filename(F.col("path"))
     rows = files.select(
-        "path", name.alias("filename"), C.kind(C.extension(name), F.lit("")).alias("kind"), F.col("length").alias("size"), F.lit(max_bytes).alias("most"),
+        "path", name.alias("filename"), C.reader(name, F.lit("")).alias("kind"), F.col("length").alias("size"), F.lit(max_bytes).alias("most"),
         F.col("modificationTime").alias("modified"), F.when(F.col("length") <= max_bytes, F.col("content")).otherwise(F.lit(b"")).alias("content"),
     )
     return rows.mapInPandas(_parse, _PARSED)
@@ -103,10 +120,15 @@ def children(parsed: DataFrame, most: int = MAX_ATTACHMENTS) -> DataFrame:
 
 
 def ingest(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(documents with their attachments as children, quarantine with reasons)."""
-    parsed = parse(scan(spark, path).where(watchable(F.col("path"))), max_bytes)
+    """(documents with their attachments as children, quarantine with reasons).
+
+    Files are parsed once: the parsed rows are staged, and all three results read them. Hooks registered before
+    ingest see the scanned files, those after it the documents.
+    """
+    files = before_ingest.run(scan(spark, path).where(watchable(F.col("path"))))
+    parsed = stage(parse(files, max_bytes), "parsed-files")
     good = parsed.where("reason is null").withColumn("parent_id", F.lit(None).cast("string")).unionByName(children(parsed)).drop("reason", "attachments")
-    return good, parsed.where("reason is not null").select("source", "source_path", "source_type", "reason")
+    return after_ingest.run(good), parsed.where("reason is not null").select("source", "source_path", "source_type", "reason")
 
 
 def remote_sources(urls: DataFrame) -> DataFrame:
