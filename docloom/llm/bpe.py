@@ -15,6 +15,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -133,22 +134,22 @@ class ColumnBpe:
         stop = first + len(new)
         self.count[first:stop] = count
         self.at[first:stop] = self.used + np.cumsum(count) - count
-        self.flat[self.used : self.used + count.sum()] = np.fromiter((x for one in ids for x in one), np.uint32, int(count.sum()))
+        self.flat[self.used : self.used + count.sum()] = np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))
         self.used += int(count.sum())
         self.known.update(zip(new, range(first, stop)))
 
     def _slots(self, distinct: list[bytes]) -> np.ndarray:
         get = self.known.get
-        slots = np.fromiter((get(p, -1) for p in distinct), np.int64, len(distinct))
+        slots = np.fromiter(map(get, distinct, repeat(-1)), np.int64, len(distinct))
         new = np.flatnonzero(slots < 0)
         if len(new):
             if len(self.known) + len(new) > self.capacity:
                 # Start over with this slice's pieces, however many they are.
                 self._reset()
                 new = np.arange(len(distinct))
-            self._learn([distinct[i] for i in new])
-            get = self.known.get
-            slots = np.fromiter((get(p, -1) for p in distinct), np.int64, len(distinct))
+            first = len(self.known)
+            self._learn([distinct[i] for i in new.tolist()])
+            slots[new] = np.arange(first, first + len(new))
         return slots
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,8 +171,10 @@ class ColumnBpe:
         lengths = self.count[slot]
         counts = segment_sum(lengths, before)
         total = int(lengths.sum())
-        shift = np.repeat(self.at[slot] - (np.cumsum(lengths) - lengths), lengths)
-        ids = self.flat[shift + np.arange(total)]
+        small = np.int32 if max(total, self.used) < 2**31 else np.int64
+        at = np.repeat((self.at[slot] - (np.cumsum(lengths) - lengths)).astype(small), lengths)
+        at += np.arange(total, dtype=small)
+        ids = self.flat[at]
         if odd:
             parts, at = [], np.concatenate([[0], np.cumsum(counts)])
             counts = counts.copy()
