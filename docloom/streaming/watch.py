@@ -26,7 +26,7 @@ MANIFEST_SCHEMA = "sha256 string, original_filename string, original_path string
 
 def file_stream(spark: SparkSession, folder: str, per_batch: int = 1000, recursive: bool = True, archive: str | None = None) -> DataFrame:
     """New files of a folder; ``per_batch`` bounds a batch, finished files may be archived."""
-    reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", str(recursive).lower())
+    reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true")
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return reader.load(folder)
@@ -110,12 +110,13 @@ def process_batch(batch: DataFrame, number: int, out: str, settle: int = 0, fail
     )
     counts = names.agg(F.count("*").alias("detected")).crossJoin(rows.agg(F.count_if(F.col("reason").isNull()).alias("processed"))).crossJoin(bad.agg(F.count("*").alias("failed")))
     counts.withColumns({"batch": F.lit(number), "skipped_duplicates": F.col("detected") - F.col("processed") - F.col("failed")}).write.mode("overwrite").parquet(f"{out}/stats/batch={number}")
+    # Only a finished batch makes its content known.
+    done.write.mode("overwrite").parquet(f"{out}/manifest/batch={number}")
+    # The batch is done: one that runs again skips files that have gone.
     if failed:
         bad_files = spark.read.parquet(f"{out}/quarantine/batch={number}").select(F.col("source").alias("path"))
         there = _read_names(spark, failed)
         move(destinations(bad_files, failed, there))
-    # Last: only a finished batch makes its content known.
-    done.write.mode("overwrite").parquet(f"{out}/manifest/batch={number}")
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, per_batch: int = 1000, drain: bool = True, interval: str = "10 seconds", recursive: bool = True, archive: str | None = None, settle: int = 0, failed: str | None = None) -> StreamingQuery:
