@@ -20,6 +20,7 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 
+from docloom.llm.plumbing import KEPT
 from docloom.llm.textcore import between_plain_words, encode_spans, segment_sum, slices
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
@@ -205,14 +206,11 @@ class ColumnBpe:
             yield i, j, ids, counts
 
 
-_LOADED: dict[str, ColumnBpe] = {}
-
-
 def column_bpe(path: str) -> ColumnBpe:
-    """One encoder per worker process and vocabulary."""
-    if path not in _LOADED:
-        _LOADED[path] = ColumnBpe(path)
-    return _LOADED[path]
+    """One encoder per worker process and vocabulary; passes that do not tokenise drop it."""
+    if path not in KEPT:
+        KEPT[path] = ColumnBpe(path)
+    return KEPT[path]
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe
-from docloom.llm.plumbing import prepare, record, stage
+from docloom.llm.plumbing import lean, prepare, record, stage
 from docloom.llm.textcore import buffers
 
 CAPACITY = 2048
@@ -200,7 +200,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
                 yield record(_PIECES, np.full(len(owner), part), doc, piece.astype(np.int32), start, length, crc, rank)
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return chosen.mapInArrow(run, "part long, doc_id long, piece int, start long, length long, ids_crc32 long, rank long")
+    return chosen.mapInArrow(lean(run, tokenizer), "part long, doc_id long, piece int, start long, length long, ids_crc32 long, rank long")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import pickle
 import shutil
@@ -23,6 +24,31 @@ from pyspark.sql.types import StructType
 BATCH_ROWS = 1000
 ROW_KEY = ("file", "row")
 _OWN: list[str] = []
+#: What passes keep in a worker between their tasks, such as a tokenizer with its pieces.
+KEPT: dict[str, object] = {}
+Batches = Iterator[pa.RecordBatch]
+
+
+def let_go(keep: tuple[str, ...] = ()) -> None:
+    """Drop what other passes kept in this worker, and give freed memory back to the system where the C library can."""
+    for name in KEPT.keys() - set(keep):
+        del KEPT[name]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def lean(run: Callable[[Batches], Batches], *keep: str) -> Callable[[Batches], Batches]:
+    """``run`` as a task of a worker that is used again: of KEPT only ``keep`` stays, freed memory goes back at the end."""
+
+    def task(batches: Batches) -> Batches:
+        let_go(keep)
+        yield from run(batches)
+        let_go(keep)
+
+    return task
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,7 +95,7 @@ def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(model), 1)], pa.binary())], schema=names)
 
     # An empty sample has no task of its own: fit on nothing here.
-    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    found = rows.repartition(1).mapInArrow(lean(run), "model binary").collect()
     return pickle.loads(zlib.decompress(found[0]["model"])) if found else fit(schema.empty_table())
 
 
@@ -119,7 +145,7 @@ def map_batches(df: DataFrame, one: Callable[[pa.RecordBatch], Iterable[pa.Recor
             if batch.num_rows:
                 yield from one(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -169,4 +195,4 @@ def filter_batches(docs: DataFrame, column: str, keep: Callable[[pa.Array], np.n
             if batch.num_rows:
                 yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from docloom.llm.graph import connected_components, join_low, local_components
-from docloom.llm.plumbing import map_batches, prepare, record, row_keys, stage
+from docloom.llm.plumbing import lean, map_batches, prepare, record, row_keys, stage
 from docloom.llm.textcore import buffers, lower_ascii, runs, slices
 
 SHINGLE = 3
@@ -130,8 +130,10 @@ def golay_home() -> np.ndarray:
         low[np.arange(1 << 12) >> k & 1 == 1] ^= one[k]
     for k in range(11):
         high[np.arange(1 << 11) >> k & 1 == 1] ^= one[12 + k]
-    syndrome = (high[:, None] ^ low[None, :]).ravel()
-    return ((np.arange(1 << 23) ^ error[syndrome]) >> 11).astype(np.uint16)
+    home, tail = np.empty((1 << 11, 1 << 12), np.uint16), np.arange(1 << 12)
+    for head, own in enumerate(high):  # row by row: all words at once would need 200 MB
+        home[head] = ((head << 12 | tail) ^ error[own ^ low]) >> 11
+    return home.ravel()
 
 
 def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +231,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
             yield from work(held, True)
 
     prepare(fps.sparkSession)
-    return placed.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, "u long, v long").distinct()
+    return placed.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def _rooted(low: DataFrame, distance: int, block: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe
-from docloom.llm.plumbing import map_batches, prepare, record, stage
+from docloom.llm.plumbing import lean, map_batches, prepare, record, stage
 from docloom.llm.textcore import buffers
 
 MAGIC = b"DLPFOR1\0"
@@ -155,7 +155,7 @@ def token_segments(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> Dat
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
     # The hash and the row part many rows of one id, or without, into several ranges.
     order = ("doc_id", "h", "row")
-    return ordered.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, "part long, segment long, content binary")
+    return ordered.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(lean(run, tokenizer), "part long, segment long, content binary")
 
 
 def read_segments(segments: DataFrame) -> DataFrame:
