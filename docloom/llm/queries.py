@@ -70,6 +70,12 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_winnow_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.fingerprints import fingerprint_report
+
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_language_id": op1_crf_language_id,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -81,5 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_url_lm": op9_url_lm,
     "op10_rule_ensemble": op10_rule_ensemble,
+    "op12_winnow_fingerprints": op12_winnow_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {"op3_winnowing": DECONTAMINATION}
