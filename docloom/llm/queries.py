@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.plumbing import table
+from docloom.llm.oracle import FINGERPRINTS, RANKED_SEARCH
 from docloom.llm.winnow_sql import DECONTAMINATION
 
 
@@ -70,6 +71,12 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.threshold_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_winnow_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.fingerprints import fingerprint_report
 
@@ -87,6 +94,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_url_lm": op9_url_lm,
     "op10_rule_ensemble": op10_rule_ensemble,
+    "op11_threshold_search": op11_threshold_search,
     "op12_winnow_fingerprints": op12_winnow_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {"op3_winnowing": DECONTAMINATION}
+ORACLE_SQL: dict[str, str] = {
+    "op3_winnowing": DECONTAMINATION,
+    "op11_threshold_search": RANKED_SEARCH,
+    "op12_winnow_fingerprints": FINGERPRINTS,
+}
