@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.plumbing import table
-from docloom.llm.oracle import FINGERPRINTS, RANKED_SEARCH
+from docloom.llm.oracle import CONVERSATION_REPAIR, FINGERPRINTS, RANKED_SEARCH
 from docloom.llm.winnow_sql import DECONTAMINATION
 
 
@@ -83,6 +83,12 @@ def op12_winnow_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.conversation_repair import damaged, repair_report
+
+    return repair_report(damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_language_id": op1_crf_language_id,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -96,9 +102,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_rule_ensemble": op10_rule_ensemble,
     "op11_threshold_search": op11_threshold_search,
     "op12_winnow_fingerprints": op12_winnow_fingerprints,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_winnowing": DECONTAMINATION,
     "op11_threshold_search": RANKED_SEARCH,
     "op12_winnow_fingerprints": FINGERPRINTS,
+    "op13_conversation_repair": CONVERSATION_REPAIR,
 }
