@@ -111,7 +111,10 @@ def salted(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
 
 
 def row_keys(docs: DataFrame) -> DataFrame | None:
-    """docs with two more columns that tell rows apart, from the files they are read from; None where docs is no plain file scan."""
+    """docs with two more columns that tell rows apart, from the files they are read from; None where that is not known.
+
+    Right for scans with filters and chosen columns only: after an explode or a join, rows share the keys of their file.
+    """
     if "_metadata" in docs.columns:
         return None
     file, row = ROW_KEY

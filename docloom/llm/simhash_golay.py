@@ -258,15 +258,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return join_low(rows, named, "fp", rows.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, scanned: bool = False) -> DataFrame:
     """Keep one row of each component: that of its smallest id, null ids last; of rows with that id, the first one.
 
-    Rows are told apart by the file and the row that they are read from, or, where docs is no plain scan of files, by a
-    key that is staged with them. Defined results: repeated and null ids neither save nor cost a text; null and empty
+    Rows are told apart by a key that is staged with them. ``scanned``: the caller knows that docs is a scan of files with
+    nothing but filters and chosen columns on it, one row for each row of a file; then file and row are the key, and
+    nothing is staged. Defined results: repeated and null ids neither save nor cost a text; null and empty
     texts are one another's copies; an empty table gives no rows; extra columns pass through.
     """
     pad = "_" * max(map(len, docs.columns))  # no column of the table has these names
-    keyed = row_keys(docs)
+    keyed = row_keys(docs) if scanned else None
     if keyed is None:
         keyed = stage(docs.withColumn(f"row{pad}", F.monotonically_increasing_id()), "near-dedup-rows")
     key = [c for c in keyed.columns if c not in docs.columns]

@@ -67,12 +67,14 @@ def read_page(markup: str) -> Page:
     if len(low) != len(markup):  # some capitals have two small characters
         low = markup.translate(_LOWER)
     title = language = None
-    missing: set[str] = set()  # closings that are not ahead any more
-
-    def ahead(what: str, at: int) -> int:
-        found = -1 if what in missing else low.find(what, at)
-        if found < 0:
-            missing.add(what)
+    last: dict[str, tuple[int, int]] = {}  # of each search: where it began, what it found
+
+    def ahead(what: str, at: int, why: str = "") -> int:
+        began, found = last.get(why + what, (at + 1, -1))
+        if began <= at and (found < 0 or at <= found):
+            return found
+        found = low.find(what, at)
+        last[why + what] = (at, found)
         return found
 
     at = 0
@@ -89,7 +91,7 @@ def read_page(markup: str) -> Page:
             at = lt + 1
             continue
         closing, at = low[lt + 1] == "/", gt + 1
-        if kind in HIDDEN and not closing and (end := ahead(f"</{kind}", at)) >= 0 and (gt := ahead(">", end)) >= 0:
+        if kind in HIDDEN and not closing and (end := ahead(f"</{kind}", at)) >= 0 and (gt := ahead(">", end, kind)) >= 0:
             out.append(" ")
             at = gt + 1
             continue
@@ -149,18 +151,73 @@ def split_http(block: bytes) -> tuple[list[str], bytes]:
     return (head.decode("latin-1").split("\r\n"), payload) if found and head.startswith(b"HTTP/") else ([], block)
 
 
+#: Bytes of a gzip file that are handed to the decompressor at once.
+CHUNK = 1 << 16
+
+
 def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of a file, one after another; a file that isn't gzip is one member; a damaged one ends the file."""
+    """The gzip members of a file, one after another; a file that isn't gzip is one member; a damaged or cut one ends the file.
+
+    Pieces of the file are handed on, and only the rest of a piece is kept: time grows with the bytes, whatever the number of members.
+    """
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    while data[:2] == b"\x1f\x8b":
-        unzip = zlib.decompressobj(31)
-        try:
-            yield unzip.decompress(data)
-        except zlib.error:
-            return
-        data = unzip.unused_data.lstrip(b"\0")
+    at, rest, view = 0, b"", memoryview(data)
+    while True:
+        unzip, parts = zlib.decompressobj(31), []
+        while not unzip.eof:
+            if not rest:
+                rest, at = bytes(view[at : at + CHUNK]), at + CHUNK
+                if not rest:
+                    return
+            try:
+                parts.append(unzip.decompress(rest))
+            except zlib.error:
+                return
+            rest = unzip.unused_data
+        yield b"".join(parts)
+        while not (rest := rest.lstrip(b"\0")):
+            rest, at = bytes(view[at : at + CHUNK]), at + CHUNK
+            if not rest:
+                return
+
+
+def _header(lines: list[str], name: str) -> str:
+    """Value of an HTTP header line, in small letters; empty where there is none."""
+    return next((v.strip().lower() for k, _, v in (line.partition(":") for line in lines[1:]) if k.strip().lower() == name), "")
+
+
+def unchunked(payload: bytes) -> bytes:
+    """A chunked body put together; what is no chunk ends it."""
+    out, at = [], 0
+    while (end := payload.find(b"\r\n", at)) >= 0:
+        size = payload[at:end].split(b";")[0].strip()
+        if not re.fullmatch(b"[0-9a-fA-F]{1,15}", size) or not int(size, 16):
+            break
+        out.append(payload[end + 2 : end + 2 + int(size, 16)])
+        at = end + 4 + int(size, 16)
+    return b"".join(out)
+
+
+def body_of(lines: list[str], payload: bytes) -> bytes:
+    """The body of a response without its transfer and content encodings; as it is where they are unknown or broken."""
+    if "chunked" in _header(lines, "transfer-encoding"):
+        payload = unchunked(payload) or payload
+    encoding = _header(lines, "content-encoding")
+    for kind, bits in (("gzip", 47), ("deflate", 47), ("deflate", -15)):
+        if kind in encoding:
+            try:
+                return zlib.decompressobj(bits).decompress(payload)
+            except zlib.error:
+                continue
+    return payload
+
+
+def textual(lines: list[str]) -> bool:
+    """Whether a response's content type is one of texts; where none is declared it counts as text."""
+    kind = _header(lines, "content-type").split(";")[0].strip()
+    return not kind or kind.startswith("text/") or kind.endswith(("+xml", "+json")) or kind in ("application/xml", "application/json", "application/javascript")
 
 
 def _charset(lines: list[str], payload: bytes) -> str:
@@ -176,15 +233,18 @@ def _charset(lines: list[str], payload: bytes) -> str:
 
 
 _RECORDS = pa.schema(
-    [("file", pa.string()), ("place", pa.int64())] + [(k, pa.string()) for k in ("record_type", "record_id", "target_uri", "warc_date")] + [("headers", pa.list_(pa.string())), ("payload", pa.string())]
+    [("file", pa.string()), ("place", pa.int64())] + [(k, pa.string()) for k in ("record_type", "record_id", "target_uri", "warc_date")] + [("headers", pa.list_(pa.string())), ("payload", pa.string()), ("payload_digest", pa.string()), ("declared_digests", pa.list_(pa.string()))]
 )
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files under a path, plain or gzip (a member or several): file, place, record_type, record_id, target_uri, warc_date, headers, payload.
+    """Records of the WARC files under a path, plain or gzip (a member or several): file, place, record_type, record_id, target_uri, warc_date, headers, payload, payload_digest, declared_digests.
 
-    A response's headers are its HTTP lines and its payload is decoded by their charset, the page's own, or UTF-8; other
-    records (warcinfo, request, …) have no such lines and their block as payload. Files are read whole, one a task at a
+    A response's headers are its HTTP lines. Its payload is freed of chunks and compression and decoded by the charset of
+    its lines, the page's own, or UTF-8; it is null where the content type is none of texts. Other records (warcinfo,
+    request, …) have no such lines and their block as payload. ``payload_digest`` is the declared WARC-Payload-Digest, or
+    else that of the archived payload bytes as they stand in the file; ``declared_digests`` are the record's own digest
+    lines. Files are read whole, one a task at a
     time: keep them below 2 GB. Defined results: a damaged or cut record ends its file; an empty folder gives no rows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{warc,warc.gz}").load(path)
@@ -198,13 +258,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     known = {k.lower(): v for k, v in headers}
                     kind = known.get("warc-type")
                     lines, payload = split_http(block) if kind == "response" else ([], block)
-                    body = payload.decode(_charset(lines, payload), "replace")
-                    rows.append((name, place, kind, known.get("warc-record-id"), known.get("warc-target-uri"), known.get("warc-date"), lines, body))
+                    told = [f"{k}: {v}" for k, v in headers if k.lower() in ("warc-payload-digest", "warc-block-digest")]
+                    plain = body_of(lines, payload)
+                    body = plain.decode(_charset(lines, plain), "replace") if textual(lines) else None
+                    about = (known.get("warc-record-id"), known.get("warc-target-uri"), known.get("warc-date"))
+                    rows.append((name, place, kind, *about, lines, body, known.get("warc-payload-digest") or digest(payload), told))
                     place += 1
                 if rows:
                     yield record(_RECORDS, *(list(c) for c in zip(*rows, strict=True)))
 
-    ddl = "file string, place long, record_type string, record_id string, target_uri string, warc_date string, headers array<string>, payload string"
+    ddl = "file string, place long, record_type string, record_id string, target_uri string, warc_date string, headers array<string>, payload string, payload_digest string, declared_digests array<string>"
     return map_batches(files.select("path", "content"), one, ddl)
 
 
@@ -220,9 +283,9 @@ _ARROW = pa.schema(
 )
 
 
-def derive(response_id: str, target: str, date: str, lines: list[str], payload: str) -> list[tuple]:
-    """The metadata and the conversion record of one response."""
-    source = digest(payload.encode())
+def derive(response_id: str, target: str, date: str, lines: list[str], payload: str, source: str | None = None) -> list[tuple]:
+    """The metadata and the conversion record of one response; source: the digest of its archived bytes, if they are not the payload's UTF-8."""
+    source = source or digest(payload.encode())
     page = read_page(payload)
     text = page.text
     meta = "".join(f"{k}: {v}\r\n" for k, v in metadata_fields(page))
@@ -239,6 +302,9 @@ def derive(response_id: str, target: str, date: str, lines: list[str], payload:
 def derivatives(responses: DataFrame, keep: str) -> DataFrame:
     """Two records per response (record_id, target_uri, warc_date, headers, payload), with the column ``keep``.
 
+    A column payload_digest holds the digests of the archived payloads; without it, or where it is null, the digest is
+    that of the payload in UTF-8.
+
     Defined results: a null payload is empty (empty text, no outlinks); a null target
     stays null; repeated responses give their records again, with the same ids; the ids
     of a response without id come from its target, date and payload; an empty table gives
@@ -248,15 +314,16 @@ def derivatives(responses: DataFrame, keep: str) -> DataFrame:
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows, owner = [], []
-        for i, (rid, target, date, lines, payload) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
-            made = derive(rid or "", target, date, lines or [], payload or "")
+        for i, (rid, target, date, lines, payload, source) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+            made = derive(rid or "", target, date, lines or [], payload or "", source)
             rows += made
             owner += [i] * len(made)
         kept = batch.column(0).take(pa.array(owner, pa.int64()))
         arrays = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)]
         yield pa.RecordBatch.from_arrays([kept, *arrays], names=[keep, *_ARROW.names])
 
-    return map_batches(responses.select(keep, "record_id", "target_uri", "warc_date", "headers", "payload"), one, f"`{keep}` {kind}, {_COLUMNS}")
+    source = F.col("payload_digest") if "payload_digest" in responses.columns else F.lit(None).cast("string")
+    return map_batches(responses.select(keep, "record_id", "target_uri", "warc_date", "headers", "payload", source.alias("payload_digest")), one, f"`{keep}` {kind}, {_COLUMNS}")
 
 
 def responses_of(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
