@@ -28,8 +28,8 @@ def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
-    return drop_near_duplicates(docs)
+    """One document of each near-duplicate component. A stage's docs are Parquet rows that were just read again."""
+    return drop_near_duplicates(docs, scanned=True)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
