@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from docloom.functions import columns as C
 from docloom.functions.words import term_counts
+from docloom.operators.segments import SegmentedIndex
+from docloom.operators.segments import term_score as _term_score
 from docloom.runtime import file_version, fresh_path, spread, stage
 
-K1, B, RRF_K, POOL_FACTOR, POOL_LEAST = 1.5, 0.75, 60, 5, 50
+RRF_K, POOL_FACTOR, POOL_LEAST = 60, 5, 50
 #: Most values of a query matrix that is sent to every executor.
 QUERY_VALUES = 8_000_000
 #: Queries and rows of a task beyond that, and of one matrix product in it.
@@ -35,7 +37,7 @@ class Corpus:
 
     rows: DataFrame
     vectors: DataFrame
-    index: LexicalIndex | None = None
+    index: LexicalIndex | SegmentedIndex | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -220,13 +222,11 @@ def bm25_counts(rows: DataFrame, terms: list[str]) -> DataFrame:
     return rows.select("id", "seq", "text").mapInArrow(run, schema)
 
 
-def _term_score(tf: Column, df: Column, n: Column, words: Column, mean: Column) -> Column:
-    return F.ln((n - df + 0.5) / (df + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words / mean))
-
-
-def bm25_legs(source: DataFrame | Corpus, query: str) -> DataFrame:
-    """(id, seq, score) of all rows with a query term."""
+def bm25_legs(source: DataFrame | Corpus, query: str, k: int | None = None) -> DataFrame:
+    """(id, seq, score) of all rows with a query term, or at least of the k best of them."""
     corpus, terms = _corpus(source), query_terms(query)
+    if k is not None and isinstance(corpus.index, SegmentedIndex):
+        return corpus.index.top(terms, k)
     if corpus.index:
         return corpus.index.scores(terms)
     counted = stage(bm25_counts(spread(corpus.rows.select("id", "seq", "text")), terms), "bm25-counts")
@@ -242,7 +242,7 @@ def bm25_search(source: DataFrame | Corpus, query: str, k: int) -> DataFrame:
     corpus = _corpus(source)
     if not query_terms(query) or k <= 0:
         return corpus.rows.limit(0).withColumns({"score": F.lit(0.0), "rank": F.lit(0)})
-    return shown(corpus.rows, top(bm25_legs(corpus, query), k, F.desc("score"), F.asc("seq")).select("id", "seq", "score", "rank"))
+    return shown(corpus.rows, top(bm25_legs(corpus, query, k), k, F.desc("score"), F.asc("seq")).select("id", "seq", "score", "rank"))
 
 
 #: Most ids that are looked up as literals, so that the scan can skip what it does not need.
@@ -253,6 +253,8 @@ def shown(rows: DataFrame, best: DataFrame) -> DataFrame:
     """rows' columns of the best (id, …) few, with the other columns of ``best``; what rows already has under these names is replaced.
 
     A small result is looked up by its keys in the scan; texts of other rows are not read where the file can skip them.
+    For this the best few are computed here, at most FETCH + 1 rows: making the plan runs their jobs. A caller who wants
+    no job yet takes the ranked ids themselves (``bm25_legs``, ``top``) and joins them later.
     """
     extra = [c for c in best.columns if c not in ("id", "seq")]
     few = best.limit(FETCH + 1).collect()
@@ -310,21 +312,25 @@ def open_index(spark: SparkSession, path: str, schema: str | None = None) -> Lex
     return LexicalIndex(postings, total["n"], total["words"])
 
 
-_INDEXES: dict[tuple[str, str], LexicalIndex] = {}
-#: Indexes of this many versions are remembered by a session.
+_INDEXES: list[tuple[str, str, DataFrame, LexicalIndex]] = []
+#: Indexes of this many tables are remembered by a session.
 KEPT_INDEXES = 8
 
 
 def index_of(rows: DataFrame, version: str | None) -> LexicalIndex | None:
-    """The index of a version of the corpus, built when it is first asked for; another version has another index."""
+    """The index of a table at a version of its files, built when it is first asked for.
+
+    Another plan over the same files (filtered, joined, with another text) is another table and has another index.
+    """
     if version is None:
         return None
-    key = (rows.sparkSession.sparkContext.applicationId, version)
-    if key not in _INDEXES:
-        while len(_INDEXES) >= KEPT_INDEXES:
-            _INDEXES.pop(next(iter(_INDEXES)))
-        _INDEXES[key] = build_index(rows)
-    return _INDEXES[key]
+    session, narrow = rows.sparkSession.sparkContext.applicationId, rows.select("id", "seq", "text")
+    for app, files, table, index in _INDEXES:
+        if (app, files) == (session, version) and table.sameSemantics(narrow):
+            return index
+    _INDEXES[: max(0, len(_INDEXES) - KEPT_INDEXES + 1)] = []
+    _INDEXES.append((session, version, narrow, build_index(rows)))
+    return _INDEXES[-1][-1]
 
 
 def bm25_postings(docs: DataFrame, id_: str = "doc_id") -> DataFrame:
@@ -354,7 +360,7 @@ def hybrid_search(source: DataFrame | Corpus, query: str, vector: list[float] |
         scored = corpus.vectors.where(F.col("embedding").isNotNull()).select("id", query_score(F.col("embedding"), vector).alias("score"))
         legs.append(top(scored.where(F.col("score") >= 0), pool, F.desc("score"), F.asc("id")))
     if query_terms(query):
-        legs.append(top(bm25_legs(corpus, query), pool, F.desc("score"), F.asc("seq")))
+        legs.append(top(bm25_legs(corpus, query, pool), pool, F.desc("score"), F.asc("seq")))
     if not legs:
         return corpus.rows.limit(0).withColumns({"rrf": F.lit(0.0), "rank": F.lit(0)})
     fused = top(rrf(legs).where(F.col("rrf") >= min_score), k, F.desc("rrf"), F.asc("id"))

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import shutil
 import tempfile
 import uuid
+from urllib.parse import unquote, urlsplit
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
@@ -52,15 +52,36 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows over all cores where the input has fewer splits than cores, as a small file of one row group has."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal rows over the cores where the input has fewer splits than cores because it is small, as one file of one row group is.
+
+    A split of full size is work enough for a core: a large input is never shuffled for this.
+    """
+    spark = df.sparkSession
+    cores, splits = spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    full = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = sum(x for _, x, _ in files_of(df))
+    return df.repartition(cores) if splits < cores and size < cores * full // 4 else df
+
+
+def files_of(df: DataFrame) -> list[tuple[str, int, int]]:
+    """(path, bytes, modification time) of the files that a plan reads, from listings of their folders; no row is read."""
+    spark = df.sparkSession
+    conf, found = spark._jsc.hadoopConfiguration(), []
+    names = set(df.inputFiles())
+    for folder in sorted({f.rsplit("/", 1)[0] for f in names}):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        for s in path.getFileSystem(conf).listStatus(path):
+            found.append((s.getPath().toUri().getPath(), s.getLen(), s.getModificationTime()))
+    wanted = {_path_of(f) for f in names}
+    return sorted(f for f in found if f[0] in wanted)
+
+
+def _path_of(uri: str) -> str:
+    """The path of a file's URI, without scheme, host and escapes."""
+    return unquote(urlsplit(uri).path)
 
 
 def file_version(df: DataFrame) -> str | None:
-    """A name for what a plain file scan reads: paths, sizes and times of its files; None for other tables."""
-    try:
-        files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-        return str(files.agg(F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()[0])
-    except AnalysisException:
-        return None
+    """A name for the files that a plan reads: their paths, sizes and times; None where it reads none."""
+    found = files_of(df)
+    return hashlib.sha256(repr(found).encode()).hexdigest() if found else None
