@@ -37,9 +37,9 @@ LAST = 2**31 - 1
 #: Code points of a text that are worked on at once.
 BLOCK = 16_384
 #: Rows of a range of ids, about; ranges at most, their edges are one array.
-RANGE_ROWS, MOST_RANGES = 32, 1 << 18
+RANGE_ROWS, MOST_RANGES = 64, 1 << 18
 #: Ranges of a task at most, on average: hashing their texts is work, whatever their bytes.
-TASK_RANGES = 64
+TASK_RANGES = 32
 #: Edited texts of at most so many code points are fingerprinted as a whole.
 DIRECT = 4 * SPAN
 
@@ -50,9 +50,8 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _shifted(values: Column, by: int, join: Callable[[Column, Column], Column]) -> Column:
-    """join(values[i], values[i + by]) for each i where both are."""
-    size = F.greatest(F.size(values) - by, F.lit(0))
-    return F.zip_with(F.slice(values, F.lit(1), size), F.slice(values, F.lit(by + 1), size), join)
+    """join(values[i], values[i + by]) for each i; beyond the end values[i + by] is null."""
+    return F.zip_with(values, F.slice(values, F.lit(by + 1), F.size(values)), join)
 
 
 def _rolled(codes: Column) -> Column:
@@ -60,7 +59,7 @@ def _rolled(codes: Column) -> Column:
 
     def double(values: Column, length: int) -> Column:
         if length == GRAM:
-            return values
+            return F.slice(values, F.lit(1), F.size(values) - (GRAM - 1))
         power = pow(BASE, length, PRIME)
         return bind(_shifted(values, length, lambda a, b: (a * F.lit(power) + b) % F.lit(PRIME)), lambda x: double(x, 2 * length))
 
@@ -72,7 +71,7 @@ def _minima(keys: Column) -> Column:
 
     def double(values: Column, length: int) -> Column:
         if length == WINDOW:
-            return values
+            return F.slice(values, F.lit(1), F.size(values) - (WINDOW - 1))
         return bind(_shifted(values, length, lambda a, b: F.least(a, b)), lambda x: double(x, 2 * length))
 
     return double(keys, 1)
@@ -83,7 +82,9 @@ def _block(text: Column, start: Column) -> Column:
     codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
     whole = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda h, x: (h * F.lit(BASE) + x) % F.lit(PRIME))
     hashes = bind(codes, lambda c: F.when(F.size(c) < GRAM, F.array(whole(c))).otherwise(_rolled(c)))
-    keys = bind(hashes, lambda hs: F.transform(hs, lambda h, i: F.shiftleft(h, 32).bitwiseOR((F.lit(LAST) - start - i).cast("long"))))
+    first = (F.lit(LAST) - start).cast("long")
+    places = lambda hs: F.sequence(first, first - F.size(hs) + 1, F.lit(-1).cast("long"))
+    keys = bind(hashes, lambda hs: F.zip_with(hs, places(hs), lambda h, p: F.shiftleft(h, 32).bitwiseOR(p)))
     return bind(keys, lambda ks: F.when(F.size(ks) < WINDOW, F.array(F.array_min(ks))).otherwise(F.array_distinct(_minima(ks))))
 
 
@@ -121,10 +122,9 @@ def likeness(a: Column, b: Column) -> Column:
 def as_text(keys: Column) -> Column:
     """A fingerprint as text: for each kept gram, in hex, (places since the last one) · 2³¹ + hash, joined by commas."""
 
-    def gap(key: Column, i: Column) -> Column:
-        return place(key) - F.when(i == 0, 0).otherwise(place(F.get(keys, i - 1)))
-
-    return F.array_join(F.transform(keys, lambda k, i: F.hex(F.shiftleft(gap(k, i).cast("long"), 31).bitwiseOR(hash_of(k)))), ",")
+    before = F.concat(F.array(F.lit(LAST).cast("long")), F.slice(keys, F.lit(1), F.size(keys) - 1))
+    entry = lambda k, last: F.hex(F.shiftleft((place(k) - place(last)).cast("long"), 31).bitwiseOR(hash_of(k)))
+    return F.when(F.size(keys) == 0, "").otherwise(F.array_join(F.zip_with(keys, before, entry), ","))
 
 
 def joined(first: Column, first_keys: Column, cut: Column, second: Column, second_keys: Column, taken: Column) -> Column:
