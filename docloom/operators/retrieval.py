@@ -145,11 +145,14 @@ def dense_batch(corpus: DataFrame, queries: DataFrame | list[tuple[object, list[
     if isinstance(queries, list):
         kind = "long" if isinstance(queries[0][0], int) else "string"
         queries = corpus.sparkSession.createDataFrame(queries, f"query {kind}, embedding array<double>")
-    asks = queries.where(F.col("embedding").isNotNull()).select("query", "embedding")
+    # Aliased: queries that come of the same table would share its column.
+    asks = queries.where(F.col("embedding").isNotNull()).select(F.col("query").alias("query"), F.col("embedding").alias("embedding"))
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((asks, "query"), (rows, "id"))]
     schema = f"query {kinds[0]}, id {kinds[1]}, score double"
     size = asks.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("values"), F.count("*").alias("asks")).first()
-    if 0 < size["values"] <= QUERY_VALUES:
+    if not size["asks"]:
+        return corpus.sparkSession.createDataFrame([], f"{schema}, rank int")
+    if size["values"] <= QUERY_VALUES:
         held = asks.toArrow()
         shared = corpus.sparkSession.sparkContext.broadcast((held["query"].combine_chunks(), [np.asarray(q, float) for q in held["embedding"].to_pylist()]))
 
