@@ -55,11 +55,11 @@ def _shifted(values: Column, by: int, join: Callable[[Column, Column], Column])
 
 
 def _rolled(codes: Column) -> Column:
-    """Hash of each run of GRAM codes: of two runs of half the length, the first one times a power of the base and the second."""
+    """Hash of each run of GRAM codes, null where the text ends: of two runs of half the length, the first one times a power of the base and the second."""
 
     def double(values: Column, length: int) -> Column:
         if length == GRAM:
-            return F.slice(values, F.lit(1), F.size(values) - (GRAM - 1))
+            return values
         power = pow(BASE, length, PRIME)
         return bind(_shifted(values, length, lambda a, b: (a * F.lit(power) + b) % F.lit(PRIME)), lambda x: double(x, 2 * length))
 
@@ -67,25 +67,25 @@ def _rolled(codes: Column) -> Column:
 
 
 def _minima(keys: Column) -> Column:
-    """The smallest of each WINDOW keys in a row, by windows of 2, 4, 8 …"""
+    """The smallest of each WINDOW keys in a row, by windows of 2, 4, 8 …; the last GRAM - 1 keys are null."""
 
     def double(values: Column, length: int) -> Column:
         if length == WINDOW:
-            return F.slice(values, F.lit(1), F.size(values) - (WINDOW - 1))
+            return F.slice(values, F.lit(1), F.size(values) - (SPAN - 1))
         return bind(_shifted(values, length, lambda a, b: F.least(a, b)), lambda x: double(x, 2 * length))
 
     return double(keys, 1)
 
 
 def _block(text: Column, start: Column) -> Column:
-    """Kept grams of a part of a text that begins at ``start``: code points, hashes, keys with places, minima."""
+    """Minima of the windows of a part of a text that begins at ``start``: code points, hashes, keys with places, minima."""
     codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
     whole = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda h, x: (h * F.lit(BASE) + x) % F.lit(PRIME))
     hashes = bind(codes, lambda c: F.when(F.size(c) < GRAM, F.array(whole(c))).otherwise(_rolled(c)))
     first = (F.lit(LAST) - start).cast("long")
     places = lambda hs: F.sequence(first, first - F.size(hs) + 1, F.lit(-1).cast("long"))
     keys = bind(hashes, lambda hs: F.zip_with(hs, places(hs), lambda h, p: F.shiftleft(h, 32).bitwiseOR(p)))
-    return bind(keys, lambda ks: F.when(F.size(ks) < WINDOW, F.array(F.array_min(ks))).otherwise(F.array_distinct(_minima(ks))))
+    return bind(keys, lambda ks: F.when(F.size(ks) < SPAN, F.array(F.array_min(ks))).otherwise(_minima(ks)))
 
 
 def kept(text: Column) -> Column:
@@ -93,10 +93,10 @@ def kept(text: Column) -> Column:
 
     def parts(t: Column, size: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(size - SPAN, F.lit(0)), F.lit(BLOCK))
-        return F.array_distinct(F.flatten(F.transform(starts, lambda s: _block(F.substring(t, s + 1, F.lit(BLOCK + SPAN - 1)), s))))
+        return F.flatten(F.transform(starts, lambda s: F.array_distinct(_block(F.substring(t, s + 1, F.lit(BLOCK + SPAN - 1)), s))))
 
     found = bind(F.char_length(text), lambda size: F.when(size <= BLOCK, _block(text, F.lit(0))).otherwise(parts(text, size)))
-    return F.when(F.char_length(text) > 0, found).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.char_length(text) > 0, F.array_distinct(found)).otherwise(F.array().cast("array<bigint>"))
 
 
 def place(key: Column) -> Column:
@@ -107,16 +107,16 @@ def hash_of(key: Column) -> Column:
     return F.shiftright(key, 32)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of the distinct hashes of two fingerprints that both have (Jaccard); two empty ones are alike."""
+def hashes_of(keys: Column) -> Column:
+    """The distinct hashes of a fingerprint."""
+    return F.array_distinct(F.transform(keys, hash_of))
 
-    def share(x: Column, y: Column) -> Column:
-        both = F.size(F.array_intersect(x, y))
-        either = F.size(x) + F.size(y) - both
-        return F.when(either == 0, 1.0).otherwise(both / either)
 
-    distinct = lambda keys: F.array_distinct(F.transform(keys, hash_of))
-    return bind(distinct(a), lambda x: bind(distinct(b), lambda y: share(x, y)))
+def likeness(a: Column, b: Column) -> Column:
+    """Share of the distinct hashes of two fingerprints that both have (Jaccard); two empty ones are alike."""
+    both = F.size(F.array_intersect(a, b))
+    either = F.size(a) + F.size(b)
+    return F.when(either == 0, 1.0).otherwise(bind(both, lambda n: n / (either - n)))
 
 
 def as_text(keys: Column) -> Column:
@@ -194,14 +194,15 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     ``edited``: the text whose last third (rounded down) is replaced by the beginning of the next row's text.
     """
-    pairs = with_next(docs, lambda rows: rows.withColumn("kept", kept(F.col("text"))))
+    pairs = with_next(docs, lambda rows: rows.withColumn("kept", kept(F.col("text"))).withColumn("hashes", hashes_of(F.col("kept"))))
     pairs = pairs.withColumn("n_chars", F.char_length("text")).withColumn("third", F.floor(F.col("n_chars") / 3).cast("int"))
     pairs = pairs.withColumn("cut", F.col("n_chars") - F.col("third")).withColumn("taken", F.least(F.col("third"), F.char_length("next_text")))
     keys = joined(F.col("text"), F.col("kept"), F.col("cut"), F.col("next_text"), F.col("next_kept"), F.col("taken"))
     edited = F.concat(F.expr("substring(text, 1, cut)"), F.expr("substring(next_text, 1, taken)"))
-    near_next = likeness(F.col("kept"), F.col("next_kept"))
-    pairs = pairs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars"), "kept", edited.alias("edited"), keys.alias("edited_kept"), near_next.alias("near_next"))
-    return pairs.withColumn("near_edited", likeness(F.col("kept"), F.col("edited_kept")))
+    near_next = likeness(F.col("hashes"), F.col("next_hashes"))
+    pairs = pairs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars"), "kept", "hashes", edited.alias("edited"), keys.alias("edited_kept"), near_next.alias("near_next"))
+    pairs = pairs.withColumn("edited_hashes", hashes_of(F.col("edited_kept")))
+    return pairs.withColumn("near_edited", likeness(F.col("hashes"), F.col("edited_hashes"))).drop("hashes", "edited_hashes")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
