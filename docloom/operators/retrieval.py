@@ -21,6 +21,7 @@ from docloom.functions import columns as C
 from docloom.functions.words import term_counts
 from docloom.operators.segments import SegmentedIndex
 from docloom.operators.segments import term_score as _term_score
+from docloom.operators.threshold_join import threshold_join
 from docloom.runtime import file_version, fresh_path, spread, stage
 
 RRF_K, POOL_FACTOR, POOL_LEAST = 60, 5, 50
@@ -400,53 +401,22 @@ def build_context(hits: DataFrame) -> DataFrame:
     return blocks.select(F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("context"))
 
 
-LINK_BLOCK = 2048
-
-
 def cross_document_links(chunks: DataFrame, threshold: float = 0.7, top_k: int = 3, first_chunks: int = 3, prior: bool = False) -> DataFrame:
     """(source, links): other sources among the top_k of each of a source's first chunks with cosine ≥ threshold.
 
     chunks: id, source, chunk_index, seq, embedding. The store competes as a whole,
     own chunks included; ``prior`` only lets earlier chunks (seq up to the source's
-    last) compete. Query blocks meet store blocks in tasks of their own, each sends
-    top_k rows a query.
+    last) compete. An exact join, pruned by pivots; it runs while the plan is made.
     """
     rows = chunks.where(F.col("embedding").isNotNull())
-    total = rows.count()
-    blocks = max(1, -(-total // LINK_BLOCK))
-    number = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    last = rows.groupBy("source").agg(F.max("seq").alias("last"))
-    asks = rows.where(F.col("chunk_index") < first_chunks).join(last, "source").withColumns({"a": number, "b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
-    store = rows.withColumns({"b": number, "a": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
-    columns = ["a", "b", "id", "source", "seq", "embedding"]
-    left = asks.select(*columns, "last", F.lit(True).alias("asks"))
-    right = store.select(*columns, F.lit(None).cast("long").alias("last"), F.lit(False).alias("asks"))
-    kind = chunks.schema["source"].dataType.simpleString()
-
-    def one(pdf):
-        import pandas as pd
-
-        q, s = pdf[pdf.asks], pdf[~pdf.asks]
-        out = []
-        for d in {len(x) for x in q.embedding}:
-            qs, ss = q[q.embedding.map(len) == d], s[s.embedding.map(len) == d]
-            if not d or not len(ss):
-                continue
-            m, n = np.stack(qs.embedding.to_list()).astype(float), np.stack(ss.embedding.to_list()).astype(float)
-            scale = np.linalg.norm(m, axis=1)[:, None] * np.linalg.norm(n, axis=1)[None]
-            score = np.divide(m @ n.T, scale, out=np.zeros_like(scale), where=scale > 0)
-            if prior:
-                score[ss.seq.to_numpy()[None] > qs["last"].to_numpy()[:, None]] = -2
-            ids = ss.id.to_numpy(str)
-            for i in range(len(qs)):
-                good = np.flatnonzero(score[i] >= threshold)
-                good = good[np.lexsort((ids[good], -score[i][good]))][:top_k]
-                out.append(pd.DataFrame({"source": qs.source.iloc[i], "ask": str(qs.id.iloc[i]), "id": ids[good], "other": ss.source.to_numpy()[good], "score": score[i][good]}))
-        return pd.concat(out) if out else pd.DataFrame({"source": pd.Series([], dtype=q.source.dtype), "ask": [], "id": [], "other": [], "score": []})
-
-    near = left.unionByName(right).groupBy("a", "b").applyInPandas(one, f"source {kind}, ask string, id string, other {kind}, score double")
-    best = near.withColumn("place", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), F.asc("id")))).where(F.col("place") <= top_k)
-    found = best.where("other <> source").groupBy("source").agg(F.countDistinct("other").alias("links"))
+    first = rows.where(F.col("chunk_index") < first_chunks)
+    if prior:
+        first = first.join(rows.groupBy("source").agg(F.max("seq").alias("last")), "source")
+    asks = first.select(F.col("id").alias("query"), "embedding", F.col("last") if prior else F.lit(None).cast("long").alias("last"))
+    near = threshold_join(rows.select("id", "seq", "embedding"), asks, threshold, top_k)
+    names = rows.select("id", "source")
+    pairs = near.select("query", "id").join(names.withColumnRenamed("source", "other"), "id").join(names.withColumnRenamed("id", "query"), "query")
+    found = pairs.where("other <> source").groupBy("source").agg(F.countDistinct("other").alias("links"))
     return rows.select("source").distinct().join(found, "source", "left").select("source", F.coalesce("links", F.lit(0)).alias("links"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from heapq import merge
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -42,14 +43,19 @@ _PATTERNS = [(kind, re.compile(pattern), group) for kind, pattern, group in ENTI
 
 def find_entities(text: str) -> list[tuple[str, str, str, int, int]]:
     """(id, label, type, start, end): earlier patterns claim their spans first."""
-    found: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str]] = []  # sorted: claimed spans never overlap
     for kind, pattern, group in _PATTERNS:
-        for hit in pattern.finditer(text):
+        own: list[tuple[int, int, str]] = []
+        at = 0
+        for hit in pattern.finditer(text):  # from left to right, as the claimed spans
             a, b = hit.span(group)
-            if not any(a < d and c < b for c, d, _ in found):
-                found.append((a, b, kind))
+            while at < len(found) and found[at][1] <= a:
+                at += 1
+            if (at == len(found) or found[at][0] >= b) and not (own and own[-1][1] > a):
+                own.append((a, b, kind))
+        found = list(merge(found, own))
     slug = lambda label: label.strip().lower().replace(" ", "_")
-    return [(f"{kind}::{slug(text[a:b])}", text[a:b], kind, a, b) for a, b, kind in sorted(found)]
+    return [(f"{kind}::{slug(text[a:b])}", text[a:b], kind, a, b) for a, b, kind in found]
 
 
 entities = per_text(find_entities, MENTION)

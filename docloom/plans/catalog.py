@@ -56,8 +56,8 @@ _CORPUS = "corpus as (select 'doc-' || doc_id as id, doc_id as seq, doc_id, text
 _COS = "list_dot_product(cast(embedding as double[]), v) / sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[])) * list_dot_product(v, v))"
 
 
-def _dense_sql(pool: int, least: float = 0.0, where: str = "") -> str:
-    return f"select *, row_number() over (order by score desc, id) as rank from (select * from (select id, seq, {_COS} as score from corpus, q where embedding is not null {where}) where score >= {least} order by score desc, id limit {pool})"
+def _dense_sql(pool: int | None, least: float = 0.0, where: str = "") -> str:
+    return f"select *, row_number() over (order by score desc, id) as rank from (select * from (select id, seq, {_COS} as score from corpus, q where embedding is not null {where}) where score >= {least} order by score desc, id {f'limit {pool}' if pool else ''})"
 
 
 def _bm25_sql(text: str, pool: int) -> str:
@@ -108,7 +108,7 @@ def dense_filtered(t):
     return _ranked(R.dense_search(_store(t), _vector(t), 10, 0.0, {"label": 3}))
 
 
-@query(f"with {_STORE} select id, round(score, 6) as score, rank from ({_dense_sql(100000, -1.0)})")
+@query(f"with {_STORE} select id, round(score, 6) as score, rank from ({_dense_sql(None, -1.0)})")
 def dense_negative_scores(t):
     return _ranked(R.dense_all(_store(t), _vector(t), -1.0))
 
@@ -404,14 +404,14 @@ _PAIRS = "m as (select l_orderkey, 'supplier::' || l_suppkey as e, count(*) as k
 
 @query(f"with {_PAIRS} select source_id || '::related_to::' || target_id as id, source_id, target_id, 1.0 as weight, cast(evidence as int) as evidence from pairs")
 def relationships(t):
-    return G.relationships(_order_mentions(t)).select("id", "source_id", "target_id", "weight", F.size("evidence").alias("evidence"))
+    return G.related_pairs(_order_mentions(t)).select("id", "source_id", "target_id", "weight", F.col("evidence").cast("int").alias("evidence"))
 
 
 @query(f"with {_PAIRS} select 'node' as kind, count(distinct e) as n from m union all select 'edge', count(*) from pairs")
 def document_graph(t):
     found = _order_mentions(t)
     named = found.select("source", "entity_id", F.col("entity_id").alias("label"), F.lit("supplier").alias("entity_type"))
-    nodes, edges = G.document_graph(named, G.relationships(found))
+    nodes, edges = G.document_graph(named, G.related_pairs(found))
     count = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
     return count(nodes, "node").unionByName(count(edges, "edge"))
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import retrieval as R
+from docloom.operators.threshold_join import threshold_join
 
 SCHEMA = "id string, seq long, text string, embedding array<double>, source string, source_type string, metadata map<string,string>"
 
@@ -142,7 +143,8 @@ def test_context_budget(spark):
 def test_cross_links_against_brute_force(spark, monkeypatch):
     import numpy as np
 
-    monkeypatch.setattr(R, "LINK_BLOCK", 7)
+    # Several blocks of queries, few pivots.
+    monkeypatch.setattr(R, "threshold_join", lambda *a: threshold_join(*a, query_values=20, pivots=4))
     rng = np.random.default_rng(5)
     rows = [(f"c{i:02d}", f"s{i // 4}", i % 4, i, rng.normal(size=3).tolist()) for i in range(40)]
     got = {r["source"]: r["links"] for r in R.cross_document_links(spark.createDataFrame(rows, "id string, source string, chunk_index int, seq long, embedding array<double>"), 0.6).collect()}
