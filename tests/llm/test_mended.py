@@ -7,7 +7,6 @@ import random
 import time
 import zlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import simhash_golay, toxicity_nnpu, warc
@@ -80,7 +79,6 @@ def test_many_members_and_open_markup_take_linear_time():
     assert warc.plain_text("<p>a</p><script>x</script><p>y</p><script>z") == "a\ny\nz"
 
 
-@pytest.mark.slow
 def test_toxicity_recall_of_held_out_rows(spark):
     """At least nine tenths of the held-out toxic documents of the larger table are found, and false alarms stay few."""
     folder = "/root/testdata/sf0.1"
