@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import textwrap
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
 from docloom.functions.tables import ABBREVIATIONS, ATX_HEADING, CALLOUT, CHUNK_HEADING, CLOSING_MARKS, DEFINITION, FENCE, LIST_ITEM, TABLE_CLOSE, TABLE_OPEN, TABLE_RULE
@@ -68,10 +68,31 @@ def clean_text(value: str) -> str:
 _CLOSERS = re.escape(CLOSING_MARKS)
 _END = re.compile(rf"[。！？][{_CLOSERS}]*|[!?][{_CLOSERS}]*(?=\s|\Z)|(?<!\.)\.(?!\.)[{_CLOSERS}]*(?=\s|\Z)")
 _TOKEN = re.compile(r"(?:[^\W\d_]|\.)*\Z")
-_LONGEST = max(map(len, ABBREVIATIONS))
+_NEXT = re.compile(r"\W*([^\W\d_]*)")
 
 
-def sentence_spans(text: str) -> list[tuple[int, int]]:
+class Boundaries:
+    """What a period may end: no sentence after an abbreviation, unless a capitalised starter comes next."""
+
+    def __init__(self, abbreviations: Collection[str], starters: Collection[str] = ()):
+        self.abbreviations, self.starters = frozenset(abbreviations), frozenset(starters)
+        self.longest = max(map(len, self.abbreviations), default=0)
+
+    def joins(self, text: str, period: int) -> bool:
+        """The period at this place belongs to an abbreviation."""
+        token = _TOKEN.search(text, max(0, period - self.longest - 2), period)
+        return token[0].lower() in self.abbreviations
+
+    def starts(self, text: str, at: int) -> bool:
+        """A known sentence starter, capitalised, comes next."""
+        word = _NEXT.match(text, at)[1]
+        return word[:1].isupper() and word.lower() in self.starters
+
+
+HEURISTIC = Boundaries(ABBREVIATIONS)
+
+
+def sentence_spans(text: str, boundaries: Boundaries = HEURISTIC) -> list[tuple[int, int]]:
     """Spans of the sentences; only white space lies between them."""
     if not text.strip():
         return []
@@ -79,12 +100,10 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     stop = len(text.rstrip())
     for end in _END.finditer(text):
         last = end.end()
-        if text[end.start()] == ".":
-            token = _TOKEN.search(text, max(0, end.start() - _LONGEST - 2), end.start())
-            if token[0].lower() in ABBREVIATIONS:
-                if end.start() + 1 < stop:
-                    continue
-                last = end.start() + 1
+        if text[end.start()] == "." and boundaries.joins(text, end.start()) and not boundaries.starts(text, last):
+            if end.start() + 1 < stop:
+                continue
+            last = end.start() + 1
         spans.append((start, last))
         start = last + len(text[last:]) - len(text[last:].lstrip()) if last < len(text) else last
     if start < len(text):
@@ -92,8 +111,8 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def sentences(text: str) -> list[str]:
-    return [text[a:b] for a, b in sentence_spans(text)]
+def sentences(text: str, boundaries: Boundaries = HEURISTIC) -> list[str]:
+    return [text[a:b] for a, b in sentence_spans(text, boundaries)]
 
 
 # ---------------------------------------------------------------- structure
@@ -331,13 +350,13 @@ def _list_items(block: str) -> list[str]:
     return ["\n".join(lines[a:b]) for a, b in zip(begins, [*begins[1:], len(lines)], strict=True)]
 
 
-def _prose(block: str) -> list[str]:
+def _prose(block: str, boundaries: Boundaries) -> list[str]:
     """Sentences of a paragraph; marks inside inline code end none."""
     masked = re.sub(r"`[^`]*`", lambda m: re.sub("[.!?]", "_", m[0]), block)
-    return [block[a:b] for a, b in sentence_spans(masked)]
+    return [block[a:b] for a, b in sentence_spans(masked, boundaries)]
 
 
-def _long_section(text: str, start: int, budget: int) -> list[Chunk]:
+def _long_section(text: str, start: int, budget: int, boundaries: Boundaries) -> list[Chunk]:
     reader, out = _Reader(text), []
     pending, at = "", start
 
@@ -359,7 +378,7 @@ def _long_section(text: str, start: int, budget: int) -> list[Chunk]:
         elif len(body) <= budget:
             pending = body
         else:
-            for part in _gather(_list_items(body), "\n", budget) if kind == "list" else _gather(_prose(body), " ", budget) or [body]:
+            for part in _gather(_list_items(body), "\n", budget) if kind == "list" else _gather(_prose(body, boundaries), " ", budget) or [body]:
                 emit(part, {})
     if pending:
         emit(pending, {})
@@ -380,7 +399,7 @@ def _tail(text: str, options: ChunkOptions) -> str:
     return text[cut:]
 
 
-def chunks(text: str, options: ChunkOptions = ChunkOptions()) -> list[Chunk]:
+def chunks(text: str, options: ChunkOptions = ChunkOptions(), boundaries: Boundaries = HEURISTIC) -> list[Chunk]:
     """Chunks by headings, then by size; the tail of a prose chunk is put before the next."""
     if not text.strip():
         return []
@@ -392,7 +411,7 @@ def chunks(text: str, options: ChunkOptions = ChunkOptions()) -> list[Chunk]:
         if len(body) <= budget and not any(map(_is_structured, body.split("\n"))):
             out.append(Chunk(body, start, start + len(body), dict(meta)))
         else:
-            out += [Chunk(c.text, c.start, c.end, {**meta, **c.metadata}) for c in _long_section(body, start, budget)]
+            out += [Chunk(c.text, c.start, c.end, {**meta, **c.metadata}) for c in _long_section(body, start, budget, boundaries)]
     for c in out:
         c.text = c.text.strip()
     if options.overlap <= 0:

@@ -66,13 +66,27 @@ processors: Registry = Registry("processor")
 before_ingest, after_ingest = Hooks(), Hooks()
 
 
+def sentence_splitter(name: str = "auto"):
+    """The sentence engine of this name (``docloom.operators.boundaries.Engine``).
+
+    "auto" is the engine registered as "trained" where there is one, else the heuristic. An unknown name is an error.
+    """
+    if name != "auto":
+        return sentence_splitters.get(name)
+    return sentence_splitters.get("trained" if "trained" in sentence_splitters.names() else "heuristic")
+
+
+def language_detector(name: str = "stop_words") -> Callable:
+    """The language detector of this name: a function from a text column to struct(language, confidence)."""
+    return language_detectors.get(name)
+
+
 def _defaults() -> None:
     from docloom.functions.columns import language
+    from docloom.operators.boundaries import Engine
     from docloom.operators.tables import csv_table
-    from docloom.operators.text import sentences
 
-    sentence_splitters.register("heuristic", sentences)
-    sentence_splitters.register("auto", sentences)
+    sentence_splitters.register("heuristic", Engine())
     language_detectors.register("stop_words", language)
     table_extractors.register("csv", csv_table)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import markdown as M
 from docloom.functions.tables import ENTITY_PATTERNS
+from docloom.operators.registry import sentence_splitter
 
 CHUNK = "array<struct<chunk_index:int,text:string,start_char:int,end_char:int,metadata:map<string,string>>>"
 SECTION = "array<struct<ord:int,section_id:string,title:string,level:int,parent_id:string,start_char:int,end_char:int,blocks:array<struct<block_id:string,type:string,text:string,start_char:int,end_char:int>>>>"
@@ -32,8 +33,27 @@ clean_text = per_text(M.clean_text, "string")
 sentences = per_text(M.sentences, "array<string>")
 
 
-def chunk_rows(options: M.ChunkOptions = M.ChunkOptions()) -> Callable[[Column], Column]:
-    return per_text(lambda t: [(i, c.text, c.start, c.end, c.metadata) for i, c in enumerate(M.chunks(t, options))], CHUNK)
+def per_bounded_text(body: Callable[[str, M.Boundaries], object], kind: str, shared: M.Boundaries) -> Callable[[Column, Column, Column], Column]:
+    """A column function of texts and their own learned abbreviations and starters (null: the shared ones are all)."""
+
+    def batch(texts: pd.Series, abbreviations: pd.Series, starters: pd.Series) -> pd.Series:
+        own = [shared if a is None and s is None else M.Boundaries([*shared.abbreviations, *(a if a is not None else ())], s if s is not None else ()) for a, s in zip(abbreviations, starters, strict=True)]
+        return pd.Series([body(t if isinstance(t, str) else "", b) for t, b in zip(texts, own, strict=True)], dtype=object)
+
+    return lambda *columns: F.pandas_udf(batch, kind)(*columns)
+
+
+def chunk_rows(options: M.ChunkOptions = M.ChunkOptions(), shared: M.Boundaries = M.HEURISTIC) -> Callable[[Column, Column, Column], Column]:
+    body = lambda t, b: [(i, c.text, c.start, c.end, c.metadata) for i, c in enumerate(M.chunks(t, options, b))]
+    return per_bounded_text(body, CHUNK, shared)
+
+
+def split_sentences(docs: DataFrame, text: str = "text", splitter: str = "auto") -> DataFrame:
+    """``docs`` with ``sentences``, by the registered splitter of this name; a null text has none."""
+    engine = sentence_splitter(splitter)
+    split = per_bounded_text(M.sentences, "array<string>", engine.shared)
+    rows = engine.attach(docs, text).withColumn("sentences", split(F.col(text), F.col("__abbreviations"), F.col("__starters")))
+    return rows.drop("__abbreviations", "__starters")
 
 
 sections = per_text(lambda t: [(i, s.id, s.title, s.level, s.parent_id, s.start, s.end, s.blocks) for i, s in enumerate(M.sections(t))], SECTION)
@@ -61,9 +81,12 @@ def find_entities(text: str) -> list[tuple[str, str, str, int, int]]:
 entities = per_text(find_entities, MENTION)
 
 
-def chunks(docs: DataFrame, source: str = "source", text: str = "text", source_type: Column | None = None, options: M.ChunkOptions = M.ChunkOptions()) -> DataFrame:
-    """One row per chunk with its id `source::chunk_i`."""
-    rows = docs.select(F.col(source).alias("source"), (source_type if source_type is not None else F.lit("text")).alias("source_type"), F.inline(chunk_rows(options)(F.col(text))))
+def chunks(docs: DataFrame, source: str = "source", text: str = "text", source_type: Column | None = None, options: M.ChunkOptions = M.ChunkOptions(), splitter: str = "auto") -> DataFrame:
+    """One row per chunk with its id `source::chunk_i`; long paragraphs are cut at the sentence ends of the registered splitter."""
+    engine = sentence_splitter(splitter)
+    given = docs.select(F.col(source).alias("source"), (source_type if source_type is not None else F.lit("text")).alias("source_type"), F.col(text).alias("text"))
+    cut = chunk_rows(options, engine.shared)(F.col("text"), F.col("__abbreviations"), F.col("__starters"))
+    rows = engine.attach(given, "text").select("source", "source_type", F.inline(cut))
     return rows.select(F.concat(F.col("source").cast("string"), F.lit("::chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "*")
 
 
