@@ -73,7 +73,8 @@ def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
 def starter_scores(docs: DataFrame, abbreviations: DataFrame, text: str = "text") -> DataFrame:
     """(type, after_end, elsewhere, score) of the words that follow sentence ends more often than chance explains.
 
-    A sentence end is a period of a type that is not in ``abbreviations``.
+    A sentence end is a period of a type that is not in ``abbreviations``. The first word of a text follows nothing
+    and is not counted.
     """
     words = docs.select(_words(F.col(text)).alias("w"))
     pairs = words.select(F.explode(F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.struct(a.alias("before"), b.alias("word")))).alias("p")).select("p.*")
@@ -112,6 +113,10 @@ class Engine:
         return docs.withColumn("__key", key).join(met, "__key", "left").drop("__key")
 
 
+#: The engine of the built-in abbreviations alone.
+BUILT_IN = Engine()
+
+
 def trained(docs: DataFrame, text: str = "text", in_hand: int = IN_HAND) -> Engine:
     """An engine learned from the texts of ``docs``; the built-in abbreviations count as well.
 

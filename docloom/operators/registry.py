@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from importlib import import_module
 from typing import Generic, TypeVar
 
 from pyspark.sql import DataFrame
@@ -13,10 +14,14 @@ log = logging.getLogger(__name__)
 
 
 class Registry(Generic[T]):
-    """Names to objects; a later registration of a name replaces the earlier one."""
+    """Names to objects; a later registration of a name replaces the earlier one.
 
-    def __init__(self, what: str):
-        self.what, self.items = what, {}
+    What comes with the package is named by module and attribute and imported when it is first asked for.
+    """
+
+    def __init__(self, what: str, **built_in: str):
+        self.what, self.items = what, dict(built_in)
+        self.built_in = set(built_in.values())
 
     def register(self, name: str, item: T) -> T:
         self.items[name] = item
@@ -24,8 +29,12 @@ class Registry(Generic[T]):
 
     def get(self, name: str) -> T:
         if name not in self.items:
-            raise KeyError(f"unknown {self.what}: {name}")
-        return self.items[name]
+            raise KeyError(f"unknown {self.what}: {name}; expected one of: {', '.join(self.names())}")
+        found = self.items[name]
+        if isinstance(found, str) and found in self.built_in:
+            module, attribute = found.rsplit(".", 1)
+            found = getattr(import_module(module), attribute)
+        return found
 
     def names(self) -> list[str]:
         return sorted(self.items)
@@ -58,19 +67,21 @@ class Hooks:
         return df
 
 
-sentence_splitters: Registry = Registry("sentence splitter")
-language_detectors: Registry = Registry("language detector")
+sentence_splitters: Registry = Registry("sentence splitter", heuristic="docloom.operators.boundaries.BUILT_IN")
+language_detectors: Registry = Registry("language detector", stop_words="docloom.functions.columns.language")
 metadata_extractors: Registry = Registry("metadata extractor")
-table_extractors: Registry = Registry("table extractor")
+table_extractors: Registry = Registry("table extractor", csv="docloom.operators.tables.csv_table")
 processors: Registry = Registry("processor")
 before_ingest, after_ingest = Hooks(), Hooks()
 
 
-def sentence_splitter(name: str = "auto"):
-    """The sentence engine of this name (``docloom.operators.boundaries.Engine``).
+def sentence_splitter(name="auto"):
+    """The sentence engine of this name, or the engine itself (``docloom.operators.boundaries.Engine``).
 
     "auto" is the engine registered as "trained" where there is one, else the heuristic. An unknown name is an error.
     """
+    if not isinstance(name, str):
+        return name
     if name != "auto":
         return sentence_splitters.get(name)
     return sentence_splitters.get("trained" if "trained" in sentence_splitters.names() else "heuristic")
@@ -79,16 +90,3 @@ def sentence_splitter(name: str = "auto"):
 def language_detector(name: str = "stop_words") -> Callable:
     """The language detector of this name: a function from a text column to struct(language, confidence)."""
     return language_detectors.get(name)
-
-
-def _defaults() -> None:
-    from docloom.functions.columns import language
-    from docloom.operators.boundaries import Engine
-    from docloom.operators.tables import csv_table
-
-    sentence_splitters.register("heuristic", Engine())
-    language_detectors.register("stop_words", language)
-    table_extractors.register("csv", csv_table)
-
-
-_defaults()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import markdown as M
 from docloom.functions.tables import ENTITY_PATTERNS
+from docloom.operators.boundaries import Engine
 from docloom.operators.registry import sentence_splitter
 
 CHUNK = "array<struct<chunk_index:int,text:string,start_char:int,end_char:int,metadata:map<string,string>>>"
@@ -48,8 +49,8 @@ def chunk_rows(options: M.ChunkOptions = M.ChunkOptions(), shared: M.Boundaries
     return per_bounded_text(body, CHUNK, shared)
 
 
-def split_sentences(docs: DataFrame, text: str = "text", splitter: str = "auto") -> DataFrame:
-    """``docs`` with ``sentences``, by the registered splitter of this name; a null text has none."""
+def split_sentences(docs: DataFrame, text: str = "text", splitter: str | Engine = "auto") -> DataFrame:
+    """``docs`` with ``sentences``, by an engine or the registered one of this name; a null text has none."""
     engine = sentence_splitter(splitter)
     split = per_bounded_text(M.sentences, "array<string>", engine.shared)
     rows = engine.attach(docs, text).withColumn("sentences", split(F.col(text), F.col("__abbreviations"), F.col("__starters")))
@@ -81,7 +82,7 @@ def find_entities(text: str) -> list[tuple[str, str, str, int, int]]:
 entities = per_text(find_entities, MENTION)
 
 
-def chunks(docs: DataFrame, source: str = "source", text: str = "text", source_type: Column | None = None, options: M.ChunkOptions = M.ChunkOptions(), splitter: str = "auto") -> DataFrame:
+def chunks(docs: DataFrame, source: str = "source", text: str = "text", source_type: Column | None = None, options: M.ChunkOptions = M.ChunkOptions(), splitter: str | Engine = "auto") -> DataFrame:
     """One row per chunk with its id `source::chunk_i`; long paragraphs are cut at the sentence ends of the registered splitter."""
     engine = sentence_splitter(splitter)
     given = docs.select(F.col(source).alias("source"), (source_type if source_type is not None else F.lit("text")).alias("source_type"), F.col(text).alias("text"))

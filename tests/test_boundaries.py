@@ -67,7 +67,7 @@ def test_scores_equal_a_plain_count(docs):
 def test_starters_follow_ends(spark, docs):
     short = spark.createDataFrame([("abt",), ("hr",), ("lbt",)], "type string")
     found = {r["type"]: r for r in B.starter_scores(docs, short).collect()}
-    assert (found["the"]["after_end"], found["the"]["elsewhere"]) == (240, 40 + 240 + 60)  # "lbt. The" is no end by types alone
+    assert (found["the"]["after_end"], found["the"]["elsewhere"]) == (240, 40 + 240 + 60)  # "lbt. The" is no end by types alone; first words are not counted
     assert found["then"]["score"] >= B.STARTER_SCORE and "berths" not in found
     assert "marek" not in found  # after Hr. only, which ends nothing
 
