@@ -94,6 +94,30 @@ PROCESSOR_BY_KIND: dict[str, tuple[str, str]] = {
     "diagram": ("DiagramProcessor", "general_text"),
 }
 
+#: What a processor stamps: (source type, or None for the document's own; confidence; confidence with a model).
+PROCESSED_AS: dict[str, tuple[str | None, float, float]] = {
+    "TextProcessor": (None, 0.95, 0.95),
+    "MarkdownProcessor": ("markdown", 0.95, 0.95),
+    "WebProcessor": ("web", 0.90, 0.90),
+    "CodeProcessor": ("code", 0.92, 0.92),
+    "ConfigProcessor": ("config", 0.93, 0.93),
+    "PDFProcessor": ("pdf", 0.90, 0.90),
+    "DocxProcessor": ("docx", 0.90, 0.90),
+    "PptxProcessor": ("pptx", 0.88, 0.88),
+    "ResearchProcessor": ("research", 0.88, 0.88),
+    "TableProcessor": (None, 0.88, 0.88),
+    "DatabaseProcessor": ("database", 0.85, 0.85),
+    "NotebookProcessor": ("notebook", 0.90, 0.90),
+    "VideoProcessor": ("video", 0.70, 0.70),
+    "ArchiveProcessor": ("archive", 0.80, 0.80),
+    "EmailProcessor": ("email", 0.88, 0.88),
+    "VisionProcessor": ("image", 0.70, 0.85),
+    "AudioProcessor": ("audio", 0.60, 0.85),
+    "OCRProcessor": ("scanned_pdf", 0.50, 0.82),
+    "HandwritingProcessor": ("handwritten", 0.40, 0.75),
+    "DiagramProcessor": ("diagram", 0.85, 0.85),
+}
+
 #: Entity patterns (type, pattern, group of the label), in order of precedence.
 ENTITY_PATTERNS: tuple[tuple[str, str, int], ...] = (
     ("technology", r"\b[A-Z][A-Za-z0-9+.-]*\s+\d+(?:\.\d+)+\b", 0),

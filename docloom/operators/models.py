@@ -76,38 +76,141 @@ def embed_column(text: Column, embedder: Embedder, batch: int = 64) -> Column:
     return F.pandas_udf(run, "array<double>")(text)
 
 
+class ServiceError(RuntimeError):
+    """What a model server answers instead of a text: its HTTP status."""
+
+    def __init__(self, status: int, message: str = ""):
+        super().__init__(message or f"status {status}")
+        self.status = status
+
+    def __reduce__(self):
+        return ServiceError, (self.status, str(self))
+
+
+class NoSuchModel(ModelError):
+    """The server does not have the model (404)."""
+
+
+class BadAnswer(ModelError):
+    """The server refused the request, or its answer is empty or no text."""
+
+
+class TimedOut(ModelError):
+    """No answer in time, on every attempt."""
+
+
+class Unreachable(ModelError):
+    """No connection, on every attempt."""
+
+
+def call_service(call: Callable[[], object], retries: int = 2, backoff: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> str:
+    """One text from a model server, without white space around it.
+
+    Statuses of 500 and more, timeouts and lost connections are tried again after backoff · 2^n seconds.
+    404, other statuses and empty answers are not. Errors of other kinds pass through.
+    """
+    for attempt in range(retries + 1):
+        last = attempt == retries
+        try:
+            answer = call()
+        except ServiceError as error:
+            if error.status == 404:
+                raise NoSuchModel(str(error)) from error
+            if error.status < 500 or last:
+                raise BadAnswer(f"status {error.status}") from error
+        except TimeoutError as error:
+            if last:
+                raise TimedOut("no answer in time") from error
+        except ConnectionError as error:
+            if last:
+                raise Unreachable("no connection") from error
+        else:
+            if not isinstance(answer, str) or not answer:
+                raise BadAnswer("the answer is empty" if answer in ("", None) else "the answer is no text")
+            return answer.strip()
+        if backoff > 0:
+            sleep(backoff * 2**attempt)
+    raise ModelError("no attempts")
+
+
+def per_row_answers(texts: Column, ask_one: Callable[[str], tuple], kind: str) -> Column:
+    """ask_one(text) for each row, as a struct of this type; it has to turn the errors that belong to a row into fields."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        names = [f.split(":")[0].split()[0] for f in kind.split(",")]
+        for batch in batches:
+            yield pd.DataFrame([ask_one(t) for t in batch], columns=names, dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, kind)(texts)
+
+
+def generate(docs: DataFrame, prompt: Column, generator: Generator, retries: int = 2, backoff: float = 1.0) -> DataFrame:
+    """Add `answer` and `answer_error`: one call a row; a null prompt is not sent and has neither."""
+
+    def one(text: str | None) -> tuple[str | None, str | None]:
+        if text is None:
+            return None, None
+        try:
+            return call_service(lambda: generator(text), retries, backoff), None
+        except ModelError as error:
+            return None, f"{type(error).__name__}: {error}"
+
+    made = docs.withColumn("__a", per_row_answers(prompt, one, "answer string, error string"))
+    return made.withColumns({"answer": F.col("__a.answer"), "answer_error": F.col("__a.error")}).drop("__a")
+
+
+def generate_json(docs: DataFrame, prompt: Column, generator: Generator, schema: str, retries: int = 2, backoff: float = 1.0) -> DataFrame:
+    """Add `answer` in this schema and `answer_error`; an answer that is no JSON of the schema is an error of its row."""
+    made = generate(docs, prompt, generator, retries, backoff).withColumn("__j", F.from_json("answer", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"}))
+    bad = F.col("answer").isNotNull() & (F.col("__j").isNull() | F.col("__j.__bad").isNotNull())
+    error = F.when(bad, F.lit("BadAnswer: no JSON of the schema")).otherwise(F.col("answer_error"))
+    return made.withColumns({"answer_error": error, "answer": F.when(~bad & F.col("answer").isNotNull(), F.col("__j").dropFields("__bad"))}).drop("__j")
+
+
 ANALYSIS = (
     "title string, summary string, keywords array<string>, concepts array<struct<name:string,importance:string>>, "
     "definitions array<struct<term:string,text:string>>, entities array<struct<name:string,type:string>>, topics array<string>"
 )
 IMPORTANCE = ("high", "medium", "low")
-
-
-def analyse(docs: DataFrame, generator: Generator, prompt: str = "Analyse this document as JSON:\n{text}", tries: int = 2, text: str = "text") -> DataFrame:
-    """Add `analysis` (a fixed schema) and `analysis_error`: answers that are no valid JSON are asked for again."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for t in texts:
-                answer = None
-                for _ in range(tries):
-                    got = generator(prompt.replace("{text}", t or ""))
-                    try:
-                        if isinstance(json.loads(got), dict):
-                            answer = got
-                            break
-                    except ValueError:
-                        continue
-                out.append(answer)
-            yield pd.Series(out, dtype=object)
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    parsed = docs.withColumn("__answer", F.pandas_udf(run, "string")(F.col(text))).withColumn("analysis", F.from_json("__answer", ANALYSIS))
-    valid = F.coalesce(F.trim("analysis.title"), F.lit("")) != ""
-    rated = F.coalesce(F.forall("analysis.concepts", lambda c: c["importance"].isin(*IMPORTANCE)), F.lit(True))
-    error = F.when(F.col("__answer").isNull(), "no valid JSON").when(~valid, "blank title").when(~rated, "unknown importance")
-    return parsed.withColumn("analysis_error", error).withColumn("analysis", F.when(error.isNull(), F.col("analysis"))).drop("__answer")
+AGAIN = "\n\nYour last answer did not fit the schema. Answer with corrected JSON only, with all required fields."
+
+
+def analysis_problem(answer: str) -> str | None:
+    """Why an answer is no analysis; None if it is one."""
+    try:
+        found = json.loads(answer)
+    except ValueError:
+        return "no valid JSON"
+    if not isinstance(found, dict):
+        return "no valid JSON"
+    if not isinstance(found.get("title"), str) or not found["title"].strip():
+        return "blank title"
+    concepts = found.get("concepts") or []
+    if not all(isinstance(c, dict) and c.get("importance") in IMPORTANCE for c in concepts):
+        return "unknown importance"
+    return None
+
+
+def analyse(docs: DataFrame, generator: Generator, prompt: str = "Analyse this document as JSON:\n{text}", validation_retries: int = 2, text: str = "text", retries: int = 2, backoff: float = 1.0) -> DataFrame:
+    """Add `analysis` (a fixed schema), `analysis_error` and `attempts`: an answer that does not fit is asked for again, with a word on why."""
+
+    def one(body: str | None) -> tuple[str | None, str | None, int]:
+        sent, error = prompt.replace("{text}", body or ""), None
+        for attempt in range(1, validation_retries + 2):
+            try:
+                answer = call_service(lambda: generator(sent if attempt == 1 else sent + AGAIN), retries, backoff)  # noqa: B023
+                error = analysis_problem(answer)
+            except BadAnswer as bad:
+                error = str(bad)
+            except ModelError as lost:
+                return None, f"{type(lost).__name__}: {lost}", attempt
+            if error is None:
+                return answer, None, attempt
+        return None, error, validation_retries + 1
+
+    made = docs.withColumn("__a", per_row_answers(F.col(text), one, "answer string, error string, attempts int"))
+    return made.withColumns({"analysis": F.from_json("__a.answer", ANALYSIS), "analysis_error": F.col("__a.error"), "attempts": F.col("__a.attempts")}).drop("__a")
 
 
 QA_PROMPT = "Answer from the sources only, and name them.\n\n{context}\n\nQuestion: {question}"

@@ -6,7 +6,9 @@ import ast
 import csv
 import io
 import re
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,3 +132,44 @@ def diagram_mermaid(labels: Column) -> Column:
 def drawio_labels(xml: Column) -> Column:
     values = F.filter(F.xpath(xml, F.lit("//mxCell/@value")), lambda x: F.trim(x) != "")
     return F.transform(values, lambda x: F.trim(F.regexp_replace(x, "<[^>]+>", "")))
+
+
+DRAWING = "struct<nodes:array<struct<id:string,label:string>>,edges:array<struct<source:string,target:string,label:string>>>"
+
+
+def _drawing(xml: str) -> tuple[list[tuple[str, str]], list[tuple[str, str, str]]]:
+    """Labelled nodes and edges of a diagram; of nodes of one id the last label counts, at the place of the first one."""
+    try:
+        cells = [c for c in ElementTree.fromstring(xml).iter("mxCell") if c.get("id")]
+    except ElementTree.ParseError:
+        return [], []
+    name = lambda x: y if (y := re.sub("[^A-Za-z0-9_]", "_", x))[:1].isalpha() else f"n_{y}"
+    label = lambda c: re.sub("<[^>]+>", "", c.get("value", "").strip()).strip().replace('"', "'")
+    nodes: dict[str, str] = {}
+    edges = []
+    for c in cells:
+        style = c.get("style", "")
+        line = c.get("edge") in ("1", "true") or "edgeStyle" in style or "rounded=0" in style
+        if line and c.get("source") and c.get("target"):
+            edges.append((name(c.get("source")), name(c.get("target")), label(c)))
+        elif label(c):
+            nodes[name(c.get("id"))] = label(c)
+    return list(nodes.items()), edges
+
+
+def drawio_drawing(xml: Column) -> Column:
+    """struct(nodes, edges) of draw.io XML; both empty for what is no XML."""
+
+    def batch(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_drawing(t if isinstance(t, str) else "") for t in texts], columns=["nodes", "edges"])
+
+    return F.pandas_udf(batch, DRAWING)(xml)
+
+
+def flowchart(drawing: Column) -> Column:
+    """A Mermaid flow chart of a drawing: nodes, then edges; empty without a node."""
+    quoted = lambda n: F.concat(F.lit("    "), n["id"], F.lit('["'), n["label"], F.lit('"]'))
+    nodes = F.transform(drawing["nodes"], lambda n: F.when(n["id"] == F.replace(n["label"], F.lit(" "), F.lit("_")), F.concat(F.lit("    "), n["id"])).otherwise(quoted(n)))
+    arrow = lambda e: F.when(e["label"] != "", F.concat(F.lit(' -->|"'), e["label"], F.lit('"| '))).otherwise(F.lit(" --> "))
+    edges = F.transform(drawing["edges"], lambda e: F.concat(F.lit("    "), e["source"], arrow(e), e["target"]))
+    return F.when(F.size(drawing["nodes"]) == 0, "").otherwise(F.array_join(F.concat(F.array(F.lit("flowchart LR")), nodes, edges), "\n"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import boundaries as B
+from docloom.operators import models, processors
+from docloom.operators import tables as T
 from docloom.operators import text as X
 from docloom.plans.catalog import query
 from docloom.runtime import spread
@@ -48,3 +50,75 @@ def trained_sentences_built(t) -> DataFrame:
     text = F.concat(F.lit("The boats of "), key, F.lit(" carry abt. 7 tons. Then Hr. "), key, F.lit(" sold tons of salt to boats.\nThe salt went by boats of abt. nine tons."))
     docs = spread(t("customer").select("c_custkey")).select("c_custkey", text.alias("text"))
     return X.split_sentences(docs, splitter=B.trained(docs)).select("c_custkey", F.posexplode("sentences").alias("place", "sentence"))
+
+
+# ------------------------------------------------------------------ services of callers
+
+_KINDS = ("markdown", "web", "text", "code", "config", "pdf", "scanned_pdf", "handwritten", "docx", "pptx", "research", "csv", "database", "notebook", "image", "audio", "video", "archive", "email", "diagram")
+_SPECS = """('markdown', 'MarkdownProcessor', 'general_text', 'markdown', 0.95), ('web', 'WebProcessor', 'general_text', 'web', 0.90), ('text', 'TextProcessor', 'general_text', null, 0.95),
+  ('code', 'CodeProcessor', 'programming', 'code', 0.92), ('config', 'ConfigProcessor', 'general_text', 'config', 0.93), ('pdf', 'PDFProcessor', 'general_text', 'pdf', 0.90),
+  ('scanned_pdf', 'OCRProcessor', 'scanned_ocr', 'scanned_pdf', 0.50), ('handwritten', 'HandwritingProcessor', 'handwriting_ocr', 'handwritten', 0.40), ('docx', 'DocxProcessor', 'general_text', 'docx', 0.90),
+  ('pptx', 'PptxProcessor', 'general_text', 'pptx', 0.88), ('research', 'ResearchProcessor', 'general_text', 'research', 0.88), ('csv', 'TableProcessor', 'general_text', null, 0.88),
+  ('database', 'DatabaseProcessor', 'general_text', 'database', 0.85), ('notebook', 'NotebookProcessor', 'general_text', 'notebook', 0.90), ('image', 'VisionProcessor', 'vision', 'image', 0.85),
+  ('audio', 'AudioProcessor', 'audio', 'audio', 0.85), ('video', 'VideoProcessor', 'vision', 'video', 0.70), ('archive', 'ArchiveProcessor', 'general_text', 'archive', 0.80),
+  ('email', 'EmailProcessor', 'general_text', 'email', 0.88), ('diagram', 'DiagramProcessor', 'general_text', 'diagram', 0.85)"""
+_LIST = "[" + ", ".join(f"'{k}'" for k in _KINDS) + "]"
+
+
+@query(f"""with m(kind, processor, model, stamped, confidence) as (values {_SPECS}),
+  d as (select o_orderkey as k, {_LIST}[1 + o_orderkey % {len(_KINDS)}] as kind, o_orderpriority as body from orders),
+  r as (select cast(k as varchar) as source, kind, case when k % 3 = 0 then 'T' || k when k % 3 = 1 then 'f' || k || '.bin' else cast(k as varchar) end as title,
+    case kind when 'audio' then upper(body) when 'image' then 'seen ' || body else body end as content from d)
+  select source, r.kind, processor, model, title, content, '# ' || title || chr(10) || chr(10) || content as markdown, coalesce(stamped, 'own') as source_type, cast(confidence as double) as confidence,
+    r.kind in ('audio', 'image') as model_used from r join m on m.kind = r.kind""")
+def routed_processing(t) -> DataFrame:
+    """Orders as documents of twenty kinds: two processors have services, the others pass their text on."""
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (k % len(_KINDS) + 1).cast("int"))
+    docs = t("orders").select(
+        k.cast("string").alias("source"), kind.alias("kind"), F.lit("own").alias("source_type"), F.when(k % 3 == 1, F.concat(F.lit("f"), k.cast("string"), F.lit(".bin"))).alias("filename"),
+        F.when(k % 3 == 0, F.concat(F.lit("T"), k.cast("string"))).alias("title"), F.col("o_orderpriority").alias("text"), F.col("o_orderpriority").cast("binary").alias("content"),
+    )
+    see = lambda rows: rows.select("source", F.concat(F.lit("seen "), "text").alias("text"))
+    return processors.process(docs, {"AudioProcessor": processors.hearing(lambda data: [data.decode().upper()]), "VisionProcessor": see})
+
+
+@query("""select s_suppkey, 'flowchart LR' || chr(10) || '    n_1["Port ' || chr(39) || s_nationkey || chr(39) || '"]' || chr(10) || '    Dock' || chr(10) || '    n_1 -->|"' || s_suppkey || ' boats"| Dock'
+  || chr(10) || '    Dock --> n_1' as mermaid from supplier""")
+def drawio_flowchart_built(t) -> DataFrame:
+    """Diagrams with two nodes, an edge with and an edge without a label."""
+    say = lambda *x: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in x))
+    xml = say(
+        '<mxfile><diagram><mxGraphModel><root><mxCell id="0"/><mxCell id="1" value="&lt;b&gt;Port&lt;/b&gt; &quot;', F.col("s_nationkey"), '&quot;" vertex="1"/><mxCell id="Dock" value=" Dock "/>',
+        '<mxCell id="e" edge="1" source="1" target="Dock" value="', F.col("s_suppkey"), ' boats"/><mxCell id="f" style="edgeStyle=none" source="Dock" target="1"/></root></mxGraphModel></diagram></mxfile>',
+    )
+    return t("supplier").select("s_suppkey", T.flowchart(T.drawio_drawing(xml)).alias("mermaid"))
+
+
+def _server(prompt: str) -> object:
+    """A model server that refuses, fails and answers by the number in the prompt."""
+    number = int(prompt.split()[-1])
+    match number % 7:
+        case 0:
+            raise models.ServiceError(404)
+        case 1:
+            raise models.ServiceError(429)
+        case 2:
+            raise models.ServiceError(503)
+        case 3:
+            raise TimeoutError
+        case 4:
+            raise ConnectionError
+        case 5:
+            return ""
+    return f' {{"key": {number}, "region": "r{number % 3}"}} '
+
+
+@query("""select c_custkey, case when c_custkey % 7 = 6 then c_custkey end as key, case when c_custkey % 7 = 6 then 'r' || c_custkey % 3 end as region,
+  case c_custkey % 7 when 0 then 'NoSuchModel: status 404' when 1 then 'BadAnswer: status 429' when 2 then 'BadAnswer: status 503' when 3 then 'TimedOut: no answer in time' when 4 then 'Unreachable: no connection'
+    when 5 then 'BadAnswer: the answer is empty' end as answer_error from customer""")
+def model_answers(t) -> DataFrame:
+    """One call a customer to a server that fails in every way; errors are rows."""
+    prompt = F.concat(F.lit("customer "), F.col("c_custkey").cast("string"))
+    asked = models.generate_json(t("customer").select("c_custkey"), prompt, _server, "key long, region string", retries=1, backoff=0.0)
+    return asked.select("c_custkey", "answer.key", "answer.region", "answer_error")
