@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from docloom.operators import tables as T
 from docloom.operators import text as X
 from docloom.plans.catalog import query
 from docloom.runtime import spread
+from docloom.sources import remote
 
 _WORDS = r"""w as (select list_transform(list_transform(string_split_regex(coalesce(text, ''), '\s+'), lambda x: regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$', '', 'g')),
     lambda x: case when regexp_full_match(x, '\p{L}([\p{L}.]*\p{L})?\.?') then x else '' end) as w from documents),
@@ -114,11 +118,39 @@ def _server(prompt: str) -> object:
     return f' {{"key": {number}, "region": "r{number % 3}"}} '
 
 
-@query("""select c_custkey, case when c_custkey % 7 = 6 then c_custkey end as key, case when c_custkey % 7 = 6 then 'r' || c_custkey % 3 end as region,
+@query("""select c_custkey, case when c_custkey % 7 = 6 then cast(c_custkey as varchar) end as key, case when c_custkey % 7 = 6 then 'r' || c_custkey % 3 end as region,
   case c_custkey % 7 when 0 then 'NoSuchModel: status 404' when 1 then 'BadAnswer: status 429' when 2 then 'BadAnswer: status 503' when 3 then 'TimedOut: no answer in time' when 4 then 'Unreachable: no connection'
     when 5 then 'BadAnswer: the answer is empty' end as answer_error from customer""")
 def model_answers(t) -> DataFrame:
     """One call a customer to a server that fails in every way; errors are rows."""
     prompt = F.concat(F.lit("customer "), F.col("c_custkey").cast("string"))
-    asked = models.generate_json(t("customer").select("c_custkey"), prompt, _server, "key long, region string", retries=1, backoff=0.0)
+    asked = models.generate_json(t("customer").select("c_custkey"), prompt, _server, "key string, region string", retries=1, backoff=0.0)
     return asked.select("c_custkey", "answer.key", "answer.region", "answer_error")
+
+
+def _repositories(address: str) -> str:
+    """A repository service: the names end with a number, which decides what is there."""
+    name = address.removesuffix("/readme").rsplit("/", 1)[1]
+    if int(name[1:]) % 5 == 2:
+        raise models.ServiceError(404, "not found")
+    if not address.endswith("/readme"):
+        return json.dumps({"full_name": f"ports/{name}"})
+    text = "" if int(name[1:]) % 5 == 4 else f"#  Port {name}\n\n\n\nIt   is open."
+    return json.dumps({"content": base64.b64encode(text.encode()).decode(), "name": "ReadMe.md"})
+
+
+def _transcripts(video: str) -> str:
+    return json.dumps({"snippets": [{"text": f"this is {video}"}, {"text": "and ends"}]})
+
+
+@query("""with s as (select s_suppkey as k, s_suppkey % 5 as m, 'r' || s_suppkey as name from supplier)
+  select case m when 1 then 'https://youtu.be/v' || k when 3 then 'https://example.org/' || name else 'https://github.com/ports/' || name end as source,
+    case when m = 1 then 'youtube_transcript' when m = 0 then 'github_readme' when m = 3 then null else 'repository' end as source_type,
+    case m when 1 then 'v' || k || '.transcript.md' when 0 then 'ReadMe.md' end as filename, case m when 1 then 'this is v' || k || chr(10) || 'and ends' when 0 then '# Port ' || name || chr(10) || chr(10) || 'It is open.' end as text,
+    case m when 1 then 'YouTube Transcript - v' || k when 0 then 'ports/' || name end as title, case m when 2 then 'not found' when 3 then 'no reader for this URL' when 4 then 'the README is empty' end as reason from s""")
+def remote_documents(t) -> DataFrame:
+    """READMEs and transcripts of suppliers' URLs from a caller's services; what can't be read has a reason."""
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("r"), k.cast("string"))
+    url = F.when(k % 5 == 1, F.concat(F.lit("https://youtu.be/v"), k.cast("string"))).when(k % 5 == 3, F.concat(F.lit("https://example.org/"), name)).otherwise(F.concat(F.lit("https://github.com/ports/"), name))
+    return remote.read_remote(t("supplier").select(url.alias("url")), _repositories, _transcripts).select("source", "source_type", "filename", "text", "title", "reason")
