@@ -10,7 +10,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import functions as F
 
-from docloom import config
+from docloom import config, observability
 from docloom.functions import columns as C
 from docloom.operators import retrieval as R
 from docloom.operators.models import ask
@@ -22,6 +22,8 @@ from docloom.streaming.watch import watch
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="docloom")
     top.add_argument("--store", default="store", help="folder of the engine's tables")
+    top.add_argument("--log-folder", help="folder of rotating log files, JSON lines")
+    top.add_argument("--log-level", default="WARNING")
     sub = top.add_subparsers(dest="command", required=True)
     p = sub.add_parser("ingest")
     p.add_argument("path")
@@ -65,6 +67,7 @@ def filters_of(text: str | None, source_type: str | None) -> dict:
 
 def main(args: list[str] | None = None) -> None:
     a = _parser().parse_args(args)
+    observability.configure(a.log_folder, a.log_level)
     if a.command == "config":
         print(json.dumps(config.load(a.folder, a.environment), indent=2, sort_keys=True, default=str))
         return

@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.observability import Counters
 from docloom.operators import boundaries as B
 from docloom.operators import models, processors
 from docloom.operators import tables as T
@@ -154,3 +155,13 @@ def remote_documents(t) -> DataFrame:
     name = F.concat(F.lit("r"), k.cast("string"))
     url = F.when(k % 5 == 1, F.concat(F.lit("https://youtu.be/v"), k.cast("string"))).when(k % 5 == 3, F.concat(F.lit("https://example.org/"), name)).otherwise(F.concat(F.lit("https://github.com/ports/"), name))
     return remote.read_remote(t("supplier").select(url.alias("url")), _repositories, _transcripts).select("source", "source_type", "filename", "text", "title", "reason")
+
+
+@query("""select 'priced' as stage, count(*) as rows_in, count(*) filter (o_totalprice >= 150000) as rows_out, count(*) filter (o_totalprice < 150000) as rejected from orders
+  union all select 'open', count(*), count(*) filter (o_orderstatus = 'O'), count(*) filter (o_orderstatus <> 'O') from orders where o_totalprice >= 150000""")
+def stage_counters(t) -> DataFrame:
+    """Two stages over the orders, counted while they are written."""
+    counters = Counters(t.spark, "orders")
+    priced = counters.staged(t("orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), "priced", F.col("o_totalprice") >= 150000)
+    counters.staged(priced.where("o_totalprice >= 150000"), "open", F.col("o_orderstatus") == "O")
+    return counters.table().drop("run", "seconds")

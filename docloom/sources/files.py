@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import columns as C
 from docloom.functions.tables import KIND_BY_EXTENSION, READER_BY_EXTENSION
+from docloom.observability import Counters
 from docloom.operators.registry import after_ingest, before_ingest
-from docloom.runtime import stage
 from docloom.sources.formats import READERS, Unreadable
 
 MAX_BYTES = 50 << 20
@@ -119,14 +119,15 @@ def children(parsed: DataFrame, most: int = MAX_ATTACHMENTS) -> DataFrame:
     return parse(files).where("reason is null").withColumn("parent_id", F.regexp_extract("source", r"^(.*)/[^/]*$", 1))
 
 
-def ingest(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+def ingest(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, counters: Counters | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents with their attachments as children, quarantine with reasons).
 
     Files are parsed once: the parsed rows are staged, and all three results read them. Hooks registered before
-    ingest see the scanned files, those after it the documents.
+    ingest see the scanned files, those after it the documents. Parsed and rejected files are counted in the pass that
+    stages them, in ``counters`` where given.
     """
     files = before_ingest.run(scan(spark, path).where(watchable(F.col("path"))))
-    parsed = stage(parse(files, max_bytes), "parsed-files")
+    parsed = (counters or Counters(spark, "ingest")).staged(parse(files, max_bytes), "parsed-files", F.col("reason").isNull())
     good = parsed.where("reason is null").withColumn("parent_id", F.lit(None).cast("string")).unionByName(children(parsed)).drop("reason", "attachments")
     return after_ingest.run(good), parsed.where("reason is not null").select("source", "source_path", "source_type", "reason")
 
