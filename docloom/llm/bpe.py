@@ -3,19 +3,23 @@
 The library pre-splits a text into pieces (letters, digits, other marks, white
 space, English contractions) and merges inside each piece alone. So a piece has
 the same ids wherever it stands. Here NumPy finds the pieces of a whole column,
-Arrow dictionary-codes them, and the library encodes each distinct piece once per
-worker; ids are then gathered. Texts with the special token's string, or with
-characters whose class differs between Unicode versions, go to the library whole.
+Arrow dictionary-codes them, and the library's model merges each distinct piece once
+per worker, many in one call; ids are then gathered. Texts with the special token's
+string, or with characters whose class differs between Unicode versions, go to the
+library whole.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
+from operator import attrgetter
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,9 @@ import pyarrow as pa
 from docloom.llm.plumbing import KEPT
 from docloom.llm.textcore import between_plain_words, encode_spans, segment_sum, slices
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNSURE = range(5)
 #: Unicode White_Space.
@@ -105,8 +112,34 @@ def pieces(data: np.ndarray, offsets: np.ndarray, cls: np.ndarray) -> tuple[np.n
     return starts, np.searchsorted(starts, offsets)
 
 
+#: No UTF-8 text has this byte.
+_GAP = 255
+_IDS = attrgetter("id")
+
+
+def _byte_letters(tokenizer: Tokenizer) -> str | None:
+    """The letter that byte-level vocabularies write for each byte, if joining pieces by the letter of ``_GAP`` leaves their merges alone.
+
+    None: the tokenizer is set up otherwise, or some entry of its vocabulary holds that letter.
+    """
+    from tokenizers import models, pre_tokenizers
+
+    model, split = tokenizer.model, tokenizer.pre_tokenizer
+    if not isinstance(model, models.BPE) or not isinstance(split, pre_tokenizers.ByteLevel) or split.add_prefix_space:
+        return None
+    others = (model.dropout, model.unk_token, model.continuing_subword_prefix, model.end_of_word_suffix, model.ignore_merges, tokenizer.normalizer, tokenizer.truncation, tokenizer.padding)
+    if any(others):
+        return None
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(seen)))}
+    words = tokenizer.get_vocab(with_added_tokens=False)
+    if not all(c in words for c in letter.values()) or any(letter[_GAP] in w for w in words if w != letter[_GAP]):
+        return None
+    return "".join(letter[b] for b in range(256))
+
+
 class ColumnBpe:
-    """Encodes column slices; keeps the ids of at most ``capacity`` distinct pieces."""
+    """Encodes column slices; keeps the ids of at most ``capacity`` distinct pieces, those met in most slices when it is full."""
 
     def __init__(self, path: str, capacity: int = 450_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -115,6 +148,7 @@ class ColumnBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.capacity = capacity
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = _byte_letters(self.tokenizer)
         self._reset()
 
     def _reset(self) -> None:
@@ -122,37 +156,79 @@ class ColumnBpe:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
+        self.met = np.zeros(1 << 16, np.int32)
         self.used = 0
 
+    def _make_room(self) -> None:
+        """Forget the pieces met in fewest slices, so that at most half of the capacity is left; halve what the others were met."""
+        n = len(self.known)
+        at_least = np.cumsum(np.bincount(self.met[:n])[::-1])[::-1]
+        least = np.count_nonzero(at_least > self.capacity // 2)
+        keep = np.flatnonzero(self.met[:n] >= least)
+        ids, count, met = self._gather(keep), self.count[keep], self.met[keep] // 2
+        self.known = dict(zip(compress(self.known, self.met[:n] >= least), range(len(keep)), strict=True))
+        self.flat[: len(ids)] = ids
+        self.at[: len(keep)], self.count[: len(keep)], self.met[: len(keep)] = np.cumsum(count) - count, count, met
+        self.used = len(ids)
+
+    def _merge(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after another, number of ids per piece), by the library."""
+        if self.letters is None:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum())), count
+        model, gap, parts = self.tokenizer.model, bytes([_GAP]), []
+        for i in range(0, len(new), 256):
+            tokens = model.tokenize(codecs.charmap_decode(gap.join(new[i : i + 256]) + gap, "strict", self.letters)[0])
+            parts.append(np.fromiter(map(_IDS, tokens), np.uint32, len(tokens)))
+        ids = np.concatenate(parts)
+        inside = ids != model.token_to_id(self.letters[_GAP])
+        return ids[inside], np.diff(np.flatnonzero(~inside), prepend=-1) - 1
+
     def _learn(self, new: list[bytes]) -> None:
         first = len(self.known)
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids, count = self._merge(new)
         while len(self.at) < first + len(new):
-            self.at, self.count = np.concatenate([self.at, self.at]), np.concatenate([self.count, self.count])
-        while len(self.flat) < self.used + count.sum():
+            self.at, self.count, self.met = (np.concatenate([x, x]) for x in (self.at, self.count, self.met))
+        while len(self.flat) < self.used + len(ids):
             self.flat = np.concatenate([self.flat, self.flat])
         stop = first + len(new)
         self.count[first:stop] = count
         self.at[first:stop] = self.used + np.cumsum(count) - count
-        self.flat[self.used : self.used + count.sum()] = np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))
-        self.used += int(count.sum())
+        self.met[first:stop] = 0
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
         self.known.update(zip(new, range(first, stop)))
 
     def _slots(self, distinct: list[bytes]) -> np.ndarray:
-        get = self.known.get
-        slots = np.fromiter(map(get, distinct, repeat(-1)), np.int64, len(distinct))
-        new = np.flatnonzero(slots < 0)
-        if len(new):
+        def find() -> tuple[np.ndarray, np.ndarray]:
+            slots = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+            return slots, np.flatnonzero(slots < 0)
+
+        slots, new = find()
+        if len(self.known) + len(new) > self.capacity and len(new):
+            self._make_room()
+            slots, new = find()
             if len(self.known) + len(new) > self.capacity:
                 # Start over with this slice's pieces, however many they are.
                 self._reset()
                 new = np.arange(len(distinct))
+        if len(new):
             first = len(self.known)
             self._learn([distinct[i] for i in new.tolist()])
             slots[new] = np.arange(first, first + len(new))
+        self.met[slots] += 1
         return slots
 
+    def _gather(self, slot: np.ndarray) -> np.ndarray:
+        """The ids of the pieces in these slots, one after another."""
+        lengths = self.count[slot]
+        total = int(lengths.sum())
+        small = np.int32 if max(total, self.used) < 2**31 else np.int64
+        at = np.repeat((self.at[slot] - (np.cumsum(lengths) - lengths)).astype(small), lengths)
+        at += np.arange(total, dtype=small)
+        return self.flat[at]
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids per text)."""
         cls = _byte_classes(data)
@@ -168,14 +244,9 @@ class ColumnBpe:
             starts, ends = starts[keep], ends[keep]
             before = np.concatenate([[0], np.cumsum(keep)])[before]
         codes, distinct = encode_spans(data, starts, ends)
-        slot = self._slots(distinct.to_pylist())[codes]
-        lengths = self.count[slot]
-        counts = segment_sum(lengths, before)
-        total = int(lengths.sum())
-        small = np.int32 if max(total, self.used) < 2**31 else np.int64
-        at = np.repeat((self.at[slot] - (np.cumsum(lengths) - lengths)).astype(small), lengths)
-        at += np.arange(total, dtype=small)
-        ids = self.flat[at]
+        slot = self._slots(distinct.to_numpy(zero_copy_only=False).tolist())[codes]
+        counts = segment_sum(self.count[slot], before)
+        ids = self._gather(slot)
         if odd:
             parts, at = [], np.concatenate([[0], np.cumsum(counts)])
             counts = counts.copy()

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 
@@ -46,6 +47,32 @@ def test_ids_equal_the_library(tokenizer):
             at += n
 
 
+def test_full_cache_keeps_what_is_met_often(tokenizer):
+    coder, learned = bpe.ColumnBpe(bpe.tokenizer_path(), capacity=300), []
+    learn, coder._learn = coder._learn, lambda new: learned.extend(new) or learn(new)
+    often = [f" often{'abcdefgh'[i % 8] * (i + 1)}" for i in range(50)]
+    for k in range(40):
+        text = "".join(often) + "".join(f" rare{chr(97 + k % 26)}{'xy'[k // 26]}{'z' * i}" for i in range(40))
+        ids, counts = coder.encode(*buffers(pa.array([text])))
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+        assert len(coder.known) <= 300
+    assert len(learned) == 50 + 40 * 40 and all(learned.count(p.encode()) == 1 for p in often)
+
+
+def test_pieces_of_other_vocabularies(tokenizer, tmp_path):
+    texts = ["it's  ÿ\x00ÿÿ Ā日本 é", "", " a\n\nb 123", "<|endoftext|>ÿ"]
+    setup = json.loads(tokenizer.to_str())
+    setup["model"]["vocab"]["ÿÿ"] = 50_257
+    setup["model"]["merges"].append(["ÿ", "ÿ"])
+    (path := tmp_path / "other.json").write_text(json.dumps(setup))
+    for p, joined in ((bpe.tokenizer_path(), True), (str(path), False)):
+        coder, own = bpe.ColumnBpe(p), Tokenizer.from_file(p)
+        assert (coder.letters is not None) == joined
+        ids, counts = coder.encode(*buffers(pa.array(texts)))
+        found = [own.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(found, []) and counts.tolist() == [len(x) for x in found]
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 4000])
 @pytest.mark.parametrize("top", [1, 300, 50_257, 2**32 - 1])
 def test_blocks_round_trip(n, top):
