@@ -111,3 +111,57 @@ def test_hooks_run_and_streams_drain(spark, tmp_path, monkeypatch):
     found = T.read(spark, out, "documents").collect()
     assert len(found) == 3 and all(r["title"] for r in found)
     assert T.commits(spark, out).select("batch").distinct().count() >= 2 and T.read(spark, out, "vectors").count() == 0
+
+
+def _held_to(monkeypatch, most: int) -> None:
+    """From now on a Python task of mapInArrow fails that has held more bytes than this at a time."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plain = DataFrame.mapInArrow
+
+    def limited(self, body, *a, **b):
+        def run(batches):
+            import tracemalloc
+
+            tracemalloc.start()
+            try:
+                yield from body(batches)
+                held = tracemalloc.get_traced_memory()[1]
+            finally:
+                tracemalloc.stop()
+            if held > most:
+                raise MemoryError(f"a task held {held >> 20} MB")
+
+        return plain(self, run, *a, **b)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", limited)
+
+
+def test_links_of_many_chunks_hold_little_and_equal_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    rng, n = np.random.default_rng(11), 9000
+    m = rng.standard_normal((n, 8))
+    m[:300] = m[300:600] + rng.standard_normal((300, 8)) * 0.003  # texts that are close
+    hashes = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(n)]
+    # Of every source two chunks; some texts are shared, and one chunk was made twice, with two texts.
+    rows = [(f"s{i // 2}::chunk_{i % 2}", hashes[i], i % 2) for i in range(n)] + [(f"t{i}::chunk_0", hashes[i % 7], 0) for i in range(40)] + [("s0::chunk_0", hashes[600], 0)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text_hash string, chunk_index int").coalesce(1)
+    vectors = spark.createDataFrame([(h, v.tolist()) for h, v in zip(hashes, m, strict=True)], "text_hash string, embedding array<double>").coalesce(1)
+    _held_to(monkeypatch, 100 << 20)
+    found = {(r["source"], r["other"]): r["score"] for r in T._links(chunks, chunks.select("chunk_id", "text_hash"), vectors, 0.999).collect()}
+
+    place, u = {h: i for i, h in enumerate(hashes)}, m / np.linalg.norm(m, axis=1)[:, None]
+    by_vector = {}
+    for name, h, _ in rows:
+        by_vector.setdefault(place[h], []).append(name)
+    want = {}
+    for i, names in by_vector.items():
+        near = [(-1.0 if j == i else -float(u[i] @ u[j]), other) for j in np.flatnonzero(u @ u[i] >= 0.999 - 1e-12) for other in by_vector[j]]
+        for score, other in sorted(near)[:3]:
+            for name in names:
+                pair = (name.split("::")[0], other.split("::")[0])
+                if pair[0] != pair[1]:
+                    want[pair] = max(want.get(pair, 0), -score)
+    assert found.keys() == want.keys() and len(want) > 300
+    assert all(abs(found[p] - s) < 1e-9 for p, s in want.items())
