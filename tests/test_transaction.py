@@ -165,3 +165,29 @@ def test_links_of_many_chunks_hold_little_and_equal_brute_force(spark, monkeypat
                     want[pair] = max(want.get(pair, 0), -score)
     assert found.keys() == want.keys() and len(want) > 300
     assert all(abs(found[p] - s) < 1e-9 for p, s in want.items())
+
+
+def test_a_batch_leaves_no_second_copy_of_its_texts(spark, tmp_path):
+    from docloom.runtime import shared_dir
+
+    there = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file://")).glob("watched-parsed-*")}
+    before = there()
+    T.process(scan(spark, _files(tmp_path / "in")), 0, f"{tmp_path}/out", _flow())
+    assert there() == before
+    assert T.read(spark, f"{tmp_path}/out", "documents").count() == 4 and T.read(spark, f"{tmp_path}/out", "quarantine").count() == 1
+
+
+def test_mentions_take_one_pass_over_the_texts_and_equal_the_form_of_many(spark):
+    from docloom.operators import text as X
+
+    texts = ["# Harbour\n\nDr. Jane Smith met Acme Corporation in Berlin.\n\n- Python 3.12\n\n```\nAcme Corporation\n```\n\n## Trade\n\n> Schmidt GmbH\n\n|a|b|\n|-|-|\n|Berlin|x|\n", "Before.\n# One\nAcme Corporation", "Dr. Jane Smith met Acme Corporation.", "", None, "# Empty"]
+    docs = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(texts)], "source string, text string")
+    base = docs.withColumn("sections", X.sections("text"))
+    inner = base.select("source", F.inline("sections")).select("source", "section_id", F.inline("blocks")).where(F.col("type").isin("paragraph", "list", "blockquote", "table"))
+    inner = inner.select("source", "section_id", F.col("start_char").alias("shift"), F.inline(X.entities("text"))).selectExpr("source", "section_id", "entity_id", "label", "entity_type", "start_char + shift", "end_char + shift")
+    whole = base.where(F.size("sections") == 0).select("source", F.lit(None).cast("string"), F.inline(X.entities("text")))
+    found = X.mentions(docs)
+    got = [tuple(r) for r in found.drop("ord").collect()]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(got, key=key) == sorted((tuple(r) for r in inner.union(whole).collect()), key=key) and len(got) >= 6
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
