@@ -165,3 +165,15 @@ def test_first_hits_and_best_equal_a_sort():
             seen += [(i, -score[i, j], f"{start + j:02d}") for i in range(6) for j in range(20) if score[i, j] >= 1]
         want = [x for i in range(6) for x in sorted(s for s in seen if s[0] == i)[:k]]
         assert list(zip(best.q.tolist(), (-best.s).tolist(), best.ids.to_pylist(), strict=True)) == want
+
+
+def test_blocks_of_queries_count_their_angles_to_the_pivots(spark):
+    """Short vectors in many queries: a task holds more angles than values."""
+    rng = np.random.default_rng(7)
+    rows = [(i, i, rng.standard_normal(2).tolist()) for i in range(100)]
+    held = spark.createDataFrame(rows, "id long, seq long, embedding array<double>")
+    asks = held.selectExpr("id as query", "embedding", "cast(null as long) as last")
+    work = J.Work()
+    found = {(r["query"], r["id"], r["rank"]) for r in J.threshold_join(held, asks, 0.9, 3, work, 500, 8).collect()}
+    assert found == _brute(rows, [(i, v, None) for i, _, v in rows], 0.9, 3)
+    assert len(work.blocks) == 2
